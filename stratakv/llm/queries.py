@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import mixing, ppm, toxicity
+from stratakv.llm import mixing, ngramlm, ppm, toxicity
 from stratakv.llm.textio import fold_of
 
 
@@ -20,6 +20,11 @@ def prose_share(text: str = "text"):
     return F.length(F.regexp_replace(text, r"[^\p{L} ]+", "")) / F.greatest(F.length(text), F.lit(1)) + 0.01
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2)
+    return ngramlm.score(docs, ngramlm.learn(docs.where(~F.col("held_out"))), ("doc_id", "held_out"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=prose_share())
 
@@ -36,7 +41,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op8_toxicity": op8_toxicity, "op10_language": op10_language}
+    return {"op1_lm_score": op1_lm_score, "op2_mix_sources": op2_mix_sources, "op8_toxicity": op8_toxicity, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
