@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import mixing, ngramlm, ppm, toxicity
+from stratakv.llm import collision, jaccard, knnjoin, mixing, ngramlm, ppm, toxicity
 from stratakv.llm.textio import fold_of
 
 
@@ -29,6 +29,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=prose_share())
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knnjoin.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 3) == 1)
     model = toxicity.learn(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 3) != 1))
@@ -41,7 +53,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op2_mix_sources": op2_mix_sources, "op8_toxicity": op8_toxicity, "op10_language": op10_language}
+    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op7_nearest, op8_toxicity, op10_language)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
