@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import collision, jaccard, knnjoin, mixing, ngramlm, ppm, toxicity
+from stratakv.llm import collision, jaccard, knnjoin, linededup, mixing, ngramlm, ppm, toxicity
 from stratakv.llm.textio import fold_of
 
 
@@ -37,6 +37,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
+    kept = linededup.dedup_lines(docs)
+    return kept.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op7_nearest, op8_toxicity, op10_language)
+    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op6_line_dedup, op7_nearest, op8_toxicity, op10_language)
     return {f.__name__: f for f in named}
 
 
