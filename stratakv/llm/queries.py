@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import collision, jaccard, knnjoin, linededup, mixing, ngramlm, ppm, toxicity
+from stratakv.llm import collision, jaccard, knnjoin, licences, linededup, mixing, ngramlm, ppm, toxicity
 from stratakv.llm.textio import fold_of
 
 
@@ -54,13 +54,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ("doc_id", "held_out"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.learn(docs))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold_of(F.col("doc_id"), 4) == 2)
     return ppm.identify(docs, ppm.learn(docs.where(~F.col("held_out"))), ("doc_id", "held_out"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op6_line_dedup, op7_nearest, op8_toxicity, op10_language)
+    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op6_line_dedup, op7_nearest, op8_toxicity, op9_licences, op10_language)
     return {f.__name__: f for f in named}
 
 
