@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakv.llm import collision, jaccard, knnjoin, licences, linededup, mixing, ngramlm, ppm, toxicity
+from stratakv.llm import collision, jaccard, knnjoin, licences, linededup, mixing, ngramlm, pieces, ppm, toxicity
 from stratakv.llm.textio import fold_of
 
 
@@ -37,6 +38,16 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+#: The public SentencePiece model that texts are encoded with.
+PIECES = os.environ.get("STRATAKV_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = pieces.encode(docs, PIECES, ("doc_id",))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"), F.length("decoded").cast("long").alias("decoded_chars"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
@@ -65,7 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op6_line_dedup, op7_nearest, op8_toxicity, op9_licences, op10_language)
+    named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op5_sentencepiece, op6_line_dedup, op7_nearest, op8_toxicity, op9_licences, op10_language)
     return {f.__name__: f for f in named}
 
 
