@@ -34,9 +34,9 @@ SLICE = 6 << 20
 FIRST, MORE = 8, 3
 BITS_PER_ENTRY = 1.45
 #: Ratio of a level's counts to those of the level below, by n-gram order.
-STEP = {UNI: 1.12, BI: 1.6}
+STEP = {UNI: 1.25, BI: 1.6}
 #: Interpolation weights of the bigram estimate; a document's probability is the mean over them.
-BLEND = (0.0, 0.3, 0.6, 0.9)
+BLEND = (0.0, 0.4, 0.8)
 
 
 def level_of(counts: np.ndarray, order: int) -> np.ndarray:
@@ -233,25 +233,30 @@ def frequent_counts(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def document_scores(token: np.ndarray, before: np.ndarray, edges: np.ndarray, levels: dict[int, tuple[np.ndarray, np.ndarray]], model_values: dict[int, np.ndarray], total: int, kinds: int) -> np.ndarray:
-    """log10 probability of each row. levels[order]: sorted distinct keys and their levels."""
-
-    def count(order: int, keys: np.ndarray) -> np.ndarray:
-        known, level = levels[order]
-        return model_values[order][level[np.searchsorted(known, keys)]]
-
-    own, context = count(UNI, token), count(UNI, before)
-    pair = np.where((own > 0) & (context > 0), count(BI, bigrams(before, token)), 0.0)
+def document_scores(own: np.ndarray, context: np.ndarray, pair: np.ndarray, edges: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """log10 probability of each row from its tokens' counts, those of the tokens before them, and those of the pairs."""
     base = (own + 1) / (total + kinds + 1)
-    ratio = np.minimum(pair / np.maximum(context, 1), 1.0)
+    log_base = np.log10(base)
+    seen = np.flatnonzero((pair > 0) & (own > 0) & (context > 0))
+    ratio = np.minimum(pair[seen] / context[seen], 1.0)
     each = []
     for blend in BLEND:
-        each.append(np.add.reduceat(np.log10(np.where(context > 0, blend * ratio + (1 - blend) * base, base)), edges[:-1]))
+        part = log_base + np.log10(1 - blend) * (context > 0)
+        part[seen] = np.log10(blend * ratio + (1 - blend) * base[seen])
+        each.append(np.add.reduceat(part, edges[:-1]))
     each = np.array(each)
     most = each.max(0)
     return most + np.log10(np.power(10.0, each - most).mean(0))
 
 
+def after(values: np.ndarray, edges: np.ndarray, first: float) -> np.ndarray:
+    """Each token's predecessor's value; `first` at the starts of rows."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[edges[:-1]] = first
+    return out
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = 192 << 20) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
@@ -293,11 +298,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
             base = np.bincount(row, log_count[inverse], n) - np.diff(edges) * smooth
             ident = serial + np.arange(n)
             serial += n
-            near, pair = np.union1d(kind, START), np.unique(bigrams(before, token))
             scores = None
             if known:
-                levels = {UNI: (near, known[UNI].levels(near)), BI: (pair, known[BI].levels(pair))}
-                scores = document_scores(token, before, edges, levels, values, total, kinds)
+                own = values[UNI][known[UNI].levels(kind)][inverse]
+                context = after(own, edges, values[UNI][known[UNI].levels(np.array([START]))[0]])
+                pair = np.zeros(len(token))
+                likely = np.flatnonzero((own > 0) & (context > 0))
+                pair[likely] = values[BI][known[BI].levels(bigrams(before[likely], token[likely]))]
+                scores = document_scores(own, context, pair, edges, total, kinds)
             doc = {"kind": np.zeros(n), "row_id": ident, "n_tokens": np.diff(edges), "n_known": np.bincount(row, ~cold, n).astype(np.int64), "base": base}
             yield emit(n, doc | ({} if scores is None else {"score": scores}), [batch.column(c) for c in keep])
             rows, keys = ident[row[cold]], token[cold]
@@ -310,7 +318,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
                 some = by_shard(keys, bits)
                 yield emit(len(some), {"kind": [1] * len(some), "shard": [s for s, _, _ in some], "rows": [rows[a:b].tobytes() for _, a, b in some], "keys": [keys[a:b].tobytes() for _, a, b in some], "times": [often[a:b].astype(np.int64).tobytes() for _, a, b in some]})
             if not known:
-                for ngram, asked in ((UNI, near), (BI, pair)):
+                for ngram, asked in ((UNI, np.union1d(kind, START)), (BI, np.unique(bigrams(before, token)))):
                     some = by_shard(asked, bits)
                     yield emit(len(some), {"kind": [2] * len(some), "ngram": [ngram] * len(some), "shard": [s for s, _, _ in some], "batch_id": [int(ident[0])] * len(some), "keys": [asked[a:b].tobytes() for _, a, b in some]})
                 yield emit(1, {"kind": [3], "batch_id": [int(ident[0])], "keys": [token.tobytes()], "rows": [edges.astype(np.int64).tobytes()]})
@@ -362,13 +370,16 @@ def routed_scores(measured: DataFrame, model: Model) -> DataFrame:
         before = np.empty_like(token)
         before[1:] = token[:-1]
         before[edges[:-1]] = START
-        levels = {}
-        for ngram in (UNI, BI):
-            own = replies.filter(pc.equal(replies.column("ngram"), ngram))
-            keys, level = joined(own.column("keys"), np.uint64), joined(own.column("levels"), np.int16)
+
+        def count(ngram: int, asked: np.ndarray) -> np.ndarray:
+            part = replies.filter(pc.equal(replies.column("ngram"), ngram))
+            keys, level = joined(part.column("keys"), np.uint64), joined(part.column("levels"), np.int16)
             order = np.argsort(keys)
-            levels[ngram] = (keys[order], level[order])
-        got = document_scores(token, before, edges, levels, values, total, kinds)
+            return values[ngram][level[order][np.searchsorted(keys[order], asked)]]
+
+        own = count(UNI, token)
+        context = after(own, edges, count(UNI, np.array([START]))[0])
+        got = document_scores(own, context, count(BI, bigrams(before, token)), edges, total, kinds)
         return pa.table({"row_id": key[0].as_py() + np.arange(len(got)), "score": got})
 
     asked = measured.where("kind = 2").select("ngram", "shard", "batch_id", "keys")
