@@ -257,15 +257,12 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     texts = packed_texts(docs, groups.select("doc").distinct())
     nearest = groups.groupBy("doc").agg(F.min("center").alias("center"))
     units = nearest.select("center", "doc").union(nearest.select("center", F.col("center").alias("doc"))).distinct()
-    links = written(links_in_units(units, texts, words, bands), "jaccard-links")
-    label = components(links)
+    label = components(links_in_units(units, texts, words, bands))
     again = open_groups(groups, label)
-    links = written(links.union(links_in_units(again, texts, words, bands)), "jaccard-links")
-    label = components(links)
+    label = components(links_in_units(again, texts, words, bands).union(label))
     rest = across_salts(open_groups(groups, label), label)
     if not rest.isEmpty():
-        links = written(links.union(links_of(rest, ["center", "salt", "other"], texts, words, bands)), "jaccard-links")
-        label = components(links)
+        label = components(links_of(rest, ["center", "salt", "other"], texts, words, bands).union(label))
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"))
     own = sets.join(classes, ["n_shingles", "d1", "d2"], "left")
     found = own.join(label.withColumnRenamed("node", "first"), "first", "left")
@@ -277,7 +274,7 @@ def open_groups(groups: DataFrame, label: DataFrame) -> DataFrame:
     """center, doc of the join groups of more than two whose members are in different components; each center's own row as well."""
     labelled = groups.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     still = labelled.groupBy("group_id", "center").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("group_id", "center")
-    return written(groups.join(still, ["group_id", "center"], "left_semi").select("center", "doc").distinct(), "jaccard-open")
+    return written(groups.join(still, ["group_id", "center"], "left_semi").select("center", "doc").distinct(), "jaccard-open", 1 + groups.count() // 200_000)
 
 
 def across_salts(members: DataFrame, label: DataFrame) -> DataFrame:

@@ -158,13 +158,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, so a lost executor costs no earlier step."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, so a lost executor costs no earlier step.
+
+    files: at most so many, for tables known to be small.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     atexit.register(_removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made and nothing reads any more."""
+    _removed(df.sparkSession, df._written_to)
 
 
 def _removed(spark: SparkSession, path: str) -> None:
