@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from stratakv.llm.knnjoin import best_of, finite, matrix, together
 from stratakv.llm.textio import written
 
-BLOCK, GROUP = 8192, 256
+#: Data vectors in a block, queries in a group, tasks that share a block, and vectors verified at least before a search ends unsatisfied.
+BLOCK, GROUP, SALTS, LEAST = 65_536, 128, 6, 400
 
 
 class SortedProjections:
@@ -28,37 +29,36 @@ class SortedProjections:
 
     def __init__(self, unit: np.ndarray, directions: np.ndarray):
         self.unit = unit
-        self.projected = (unit @ directions.T).astype(np.float32)
-        self.order = np.argsort(self.projected, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.projected, self.order, axis=0)
-
-    def candidates(self, query: np.ndarray, at: np.ndarray, k: int, threshold: int, first: float, growth: float, share: float) -> np.ndarray:
-        """Positions of the verified vectors. at: the query's projections."""
-        n, lines = self.projected.shape
-        hits = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(lines)])
-        high = low.copy()
-        checked = np.zeros(n, bool)
-        width, most = first, max(int(share * n), 4 * k)
-        best = np.empty(0)
-        while True:
+        projected = (directions @ unit.T).astype(np.float32)  # a line's values lie side by side
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+
+    def candidates(self, query: np.ndarray, at: np.ndarray, k: int, threshold: int, widths: np.ndarray, share: float) -> np.ndarray:
+        """Positions of the verified vectors. at: the query's projections; widths: half the windows' widths, round by round."""
+        lines, n = self.sorted.shape
+        hits, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
+        low = np.array([np.searchsorted(self.sorted[j], (at[j] - widths).astype(np.float32), "left") for j in range(lines)])
+        high = np.array([np.searchsorted(self.sorted[j], (at[j] + widths).astype(np.float32), "right") for j in range(lines)])
+        found, best = 0, np.empty(0)
+        for r, width in enumerate(widths):
             for j in range(lines):
-                left = np.searchsorted(self.sorted[:, j], at[j] - width, "left")
-                right = np.searchsorted(self.sorted[:, j], at[j] + width, "right")
-                hits[self.order[left : low[j], j]] += 1
-                hits[self.order[high[j] : right, j]] += 1
-                low[j], high[j] = min(left, low[j]), max(right, high[j])
+                if r:
+                    hits[self.order[j, low[j, r] : low[j, r - 1]]] += 1
+                    hits[self.order[j, high[j, r - 1] : high[j, r]]] += 1
+                else:
+                    hits[self.order[j, low[j, 0] : high[j, 0]]] += 1
             new = np.flatnonzero((hits >= threshold) & ~checked)
             checked[new] = True
+            found += len(new)
             best = np.sort(np.concatenate([best, 2 - 2 * (self.unit[new] @ query)]))[: k + 1]
             spread = width * np.sqrt(len(query))  # a vector this far away has projections about `width` apart
-            if checked.sum() >= n or len(best) > k and (best[k] <= (0.5 * spread) ** 2 or checked.sum() >= most):
-                return np.flatnonzero(checked)
-            width *= growth
+            if len(best) > k and (best[k] <= (0.5 * spread) ** 2 or found >= max(share * n, LEAST)):
+                break
+        return np.flatnonzero(checked) if found > k else np.arange(n)
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, lines: int = 64, threshold: float = 0.7, first: float = 0.02, growth: float = 1.3, share: float = 0.2, seed: int = 29
+    vectors: DataFrame, is_query: Column, k: int = 5, lines: int = 40, threshold: float = 0.7, first: float = 0.05, growth: float = 1.35, share: float = 0.2, seed: int = 29
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query k near rows by cosine, the query's own row left out.
 
@@ -82,6 +82,8 @@ def nearest(
     directions = np.random.default_rng(seed).normal(size=(lines, dim))
     directions /= np.linalg.norm(directions, axis=1, keepdims=True)
     least = int(np.ceil(threshold * lines))
+    widths = first * growth ** np.arange(int(np.ceil(np.log(2.1 / first) / np.log(growth))) + 1)
+    salts = int(np.clip(stats[0]["queries"] // GROUP, 1, SALTS))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
@@ -104,7 +106,7 @@ def nearest(
             for row in asked.select(["ids", "vectors"]).to_pylist():
                 for own, q in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim), strict=True):
                     size = np.sqrt((q**2).sum())
-                    near = index.candidates(q / size, directions @ (q / size), k, least, first, growth, share)
+                    near = index.candidates(q / size, directions @ (q / size), k, least, widths, share)
                     exact = (distinct[near] * q).sum(1) / (norm[near] * size)
                     if len(near) > 4 * k + 4:
                         top = np.sort(np.partition(-exact, k)[: k + 1])[-1]
@@ -122,7 +124,8 @@ def nearest(
         return pa.table({c: np.concatenate(v) for c, v in out.items()})
 
     queries = base.where("query").select("vec_id", "vector").mapInArrow(group, "group_id long, ids binary, vectors binary")
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(salts)).cast("int"))
     there = base.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
-    found = asked.groupBy("part").cogroup(there.groupBy("part")).applyInArrow(search, "query_id long, vec_id long, score double")
+    there = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = asked.groupBy("part", "salt").cogroup(there.groupBy("part", "salt")).applyInArrow(search, "query_id long, vec_id long, score double")
     return best_of(found, k, F.desc("score"))
