@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from stratakv.llm import collision, jaccard, knnjoin, licences, linededup, mixing, ngramlm, pieces, ppm, toxicity
 from stratakv.llm.textio import fold_of
+from stratakv.sources.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
