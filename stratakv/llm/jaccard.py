@@ -27,11 +27,8 @@ from stratakv.llm.components import components
 from stratakv.llm.ngramlm import by_shard
 from stratakv.llm.textio import input_bytes, mix, slices, text_bytes, words_of, written
 
-#: Segments beyond the number that must be alike, so that empty ones needn't be joined on.
-SPARE = 3
 #: Signatures packed at a time, and documents that meet in one unit.
 FLUSH, UNIT = 2_000_000, 256
-SKETCH_BITS = 512
 
 
 def shingles(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,40 +54,86 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.unit = np.log(den / num) * 1.0001 if num < den else 1e-9
+        # segments beyond those in which sets may differ, so that those that aren't empty are enough of them
+        least = num * num * (den + num) / (2 * den * den * max(den - num, 1e-9))  # shingles for each such segment
+        spare = np.arange(0.0, 2.0, 0.01)
+        enough = (1 + spare) * (1 - np.exp(-least / (1 + spare))) >= 1.04
+        self.spare = float(spare[enough][0]) if enough.any() else 0.5
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(size, 1)) / self.unit).astype(np.int64)
 
+    def parts(self, differ: np.ndarray) -> np.ndarray:
+        return differ + 4 + np.ceil(differ * self.spare).astype(np.int64)
+
     def differ(self, band: np.ndarray) -> np.ndarray:
         """Elements in which linked sets of bands `band` and `band + 1` differ at most."""
         largest = np.floor(np.exp((band + 2) * self.unit) + 1e-6).astype(np.int64)
         return (2 * largest * (self.den - self.num)) // (self.den + self.num)
 
 
-def signatures(h: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every row's segments, for its band with the next and with the one before."""
+def segments(h: np.ndarray, row: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, segment and bits of every segment that isn't empty. h is in order within rows, and so are segments."""
+    segment = ((h >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (segment[1:] != segment[:-1]) | (row[1:] != row[:-1])
+    start = np.flatnonzero(new)
+    word = np.bitwise_xor.reduceat(mix(h), start) if len(start) else np.zeros(0, np.uint64)
+    return row[start], segment[start], word
+
+
+def signatures(h: np.ndarray, at: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of every row's segments, for its band with the next and with the one before.
+
+    Leaving the same shingles out of both sets can only bring them closer, so segments are made without the `frequent`
+    ones, and without empty segments wherever the others are more than sets may differ in: one of them is then alike
+    in both sets. Rows with too few such segments join on those of their whole sets as well, empty ones included if it
+    has to be; two linked sets that both have too few meet there.
+    """
     size = np.diff(at)
     row = np.repeat(np.arange(len(size)), size)
+    lean = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h if len(frequent) else np.ones(len(h), bool)
     rows, keys = [], []
     for below in (0, 1):
         band = bands.of(size) - below
         differ = bands.differ(band)
-        parts = differ + 1 + SPARE
-        segment = ((h >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (segment[1:] != segment[:-1]) | (row[1:] != row[:-1])
-        start = np.flatnonzero(new)
-        word = np.bitwise_xor.reduceat(mix(h), start) if len(start) else np.zeros(0, np.uint64)
-        own, seg = row[start], segment[start]
-        filled = np.bincount(own, minlength=len(size))
-        for r in np.flatnonzero((filled <= differ) & (size > 0)):  # empty segments count for it as well
-            rest = np.setdiff1d(np.arange(parts[r]), seg[own == r])
-            own, seg, word = np.concatenate([own, np.full(len(rest), r)]), np.concatenate([seg, rest]), np.concatenate([word, np.zeros(len(rest), np.uint64)])
+        parts = bands.parts(differ)
+        own, seg, word = segments(h[lean], row[lean], parts)
+        few = (np.bincount(own, minlength=len(size)) <= differ) & (size > 0)
+        kind = np.zeros(len(own), np.uint64)
+        if few.any():
+            some = few[row]
+            own_w, seg_w, word_w = segments(h[some], row[some], parts)
+            filled = np.bincount(own_w, minlength=len(size))
+            short = np.flatnonzero(few & (filled <= differ))
+            if len(short):
+                r = np.repeat(short, parts[short])
+                g = np.arange(len(r)) - np.repeat(np.cumsum(parts[short]) - parts[short], parts[short])
+                empty = ~np.isin(r * (1 << 32) + g, own_w * (1 << 32) + seg_w)
+                own_w, seg_w, word_w = np.concatenate([own_w, r[empty]]), np.concatenate([seg_w, g[empty]]), np.concatenate([word_w, np.zeros(int(empty.sum()), np.uint64)])
+            own, seg, word = np.concatenate([own, own_w]), np.concatenate([seg, seg_w]), np.concatenate([word, word_w])
+            kind = np.concatenate([kind, np.full(len(own_w), 1 << 62, np.uint64)])
         rows.append(own)
-        keys.append(mix(word ^ mix(((band[own] + 2) << 40).astype(np.uint64) + seg.astype(np.uint64))))
+        keys.append(mix(word ^ mix(kind + ((band[own] + 2) << 40).astype(np.uint64) + seg.astype(np.uint64))))
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def frequent_shingles(docs: DataFrame, words: int, sampled: int = 3000, least: int = 4, most: int = 100_000) -> np.ndarray:
+    """Shingles that at least `least` of about `sampled` documents have. Results don't depend on which these are, only speed does."""
+    n = docs.count()
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 6 << 20):
+            h, _ = shingles(*words_of(*text_bytes(batch.column("text"))), words)
+            keys, counts = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
+
+    some = docs.where(draw * max(n, 1) < sampled).select("text").mapInArrow(spell, "h long, n long")
+    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
 def planes(x: np.ndarray) -> bytes:
     """Bytes of 64-bit numbers by significance, which compress where numbers are alike."""
     return x.view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -105,14 +148,17 @@ def decide(ids: np.ndarray, h: np.ndarray, at: np.ndarray, bands: Bands) -> tupl
     """Links that join what is linked among a unit's rows: (id, smaller id) pairs, one less than rows in a component."""
     n, size = len(ids), np.diff(at)
     row = np.repeat(np.arange(n), size)
-    bit = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flips = np.bincount(row * SKETCH_BITS + bit, minlength=n * SKETCH_BITS) & 1
-    sketch = np.packbits(flips.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.uint64)
+    bits = int(np.clip(2 ** np.ceil(np.log2(2 * np.median(size) + 1)), 256, 1 << 15))
+    bit = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
+    flips = np.zeros(n * bits, np.uint8)
+    np.add.at(flips, row * bits + bit, np.uint8(1))
+    sketch = np.packbits((flips & 1).reshape(n, bits), axis=1).view(np.uint64)
     root = np.arange(n)
     for i in range(n):
         near = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if not size[i] or not len(near):
             continue
+        near = near[bands.den * np.minimum(size[near], size[i]) >= bands.num * np.maximum(size[near], size[i])]
         total = size[near] + size[i]
         near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(1, dtype=np.int64) * (bands.den + bands.num) <= (bands.den - bands.num) * total]
         own = h[at[i] : at[i + 1]]
@@ -152,6 +198,8 @@ def join_groups(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """
     bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / (4 << 20))), 5, 16))
 
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -172,7 +220,7 @@ def join_groups(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
             first = np.ones(len(ids), bool)
             first[order[1:]] = digest[order[1:]] != digest[order[:-1]]
             once = first & (np.diff(at) > 0)
-            row, keys = signatures(h, at, bands)
+            row, keys = signatures(h, at, bands, shared.value)
             on = once[row]
             held.append((keys[on], ids[row[on]]))
             size += int(on.sum())
