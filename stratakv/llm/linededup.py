@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakv.llm.ngramlm import by_shard
-from stratakv.llm.textio import SPACE, input_bytes, joined, mix, slices, span_hashes, text_bytes, written
+from stratakv.llm.textio import SPACE, input_bytes, joined, mix, slices, small_batches, span_hashes, text_bytes, written
 
 
 def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,8 +185,8 @@ def replies_at(chunks: DataFrame, known: DataFrame, depth: int, bits: int) -> Da
         chunk, places, later = chunk[several], places[several], ~new[several]
         order = np.argsort(chunk, kind="stable")
         chunk, places, later = chunk[order], places[order], later[order]
-        number, first = np.unique(chunk, return_index=True)
-        cut = list(zip(first, np.append(first[1:], len(chunk)), strict=True))
+        number, first, n = np.unique(chunk, return_index=True, return_counts=True)
+        cut = list(zip(first, first + n, strict=True))
         return pa.table({"chunk": number.astype(np.int64), "depth": pa.array([depth] * len(number), pa.int32()), "places": pa.array([places[a:b].tobytes() for a, b in cut], pa.binary()), "before": pa.array([later[a:b].tobytes() for a, b in cut], pa.binary())})
 
     asks = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ask, "shard int, chunk long, names binary, places binary")
@@ -234,6 +234,7 @@ def dedup_lines(docs: DataFrame, run_lines: int = 4, line_words: int = 8, remove
     """
     if run_lines & (run_lines - 1) or run_lines < 1:
         raise ValueError("run_lines is a power of two")
+    small_batches(docs)
     gone = removals(docs, run_lines, line_words).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"), F.col("removed").alias(removed))
     on = (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_digest"))
     both = docs.join(gone, on, "left").select(*docs.columns, removed)

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratakv.llm import collision, jaccard, knnjoin, licences, linededup, mixing, ngramlm, pieces, ppm, toxicity
+from stratakv.llm.oracles import oracle_sql
 from stratakv.llm.textio import fold_of
 from stratakv.sources.shipping import ship
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +58,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
     kept = linededup.dedup_lines(docs)
-    return kept.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
+    return kept.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +84,3 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_lm_score, op2_mix_sources, op3_exact_top_k, op4_ngram_jaccard, op5_sentencepiece, op6_line_dedup, op7_nearest, op8_toxicity, op9_licences, op10_language)
     return {f.__name__: f for f in named}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
