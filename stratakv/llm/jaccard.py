@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stratakv.llm.components import components
 from stratakv.llm.ngramlm import by_shard
-from stratakv.llm.textio import input_bytes, mix, slices, text_bytes, words_of, written
+from stratakv.llm.textio import input_bytes, mix, slices, small_batches, text_bytes, words_of, written
 
 #: Signatures packed at a time, and documents that meet in one unit.
 FLUSH, UNIT = 2_000_000, 256
@@ -300,6 +300,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     not read. An empty table gives an empty result.
     """
     bands = Bands(num, den)
+    small_batches(docs)
     sets = written(shingle_sets(docs, words), "jaccard-sets")
     groups = join_groups(docs, words, bands)
     texts = packed_texts(docs, groups.select("doc").distinct())

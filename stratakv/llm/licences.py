@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import mix, slices, span_hashes, text_bytes, word_spans
+from stratakv.llm.textio import mix, slices, small_batches, span_hashes, text_bytes, word_spans
 
 #: Notices by family, from the licences' public texts.
 TEMPLATES = {
@@ -199,6 +199,7 @@ def scan(docs: DataFrame, model: Scanner, threshold: float = 0.5, overlap: float
     confirmed families; unconfirmed: those only named; score: the highest confirmed probability, 0 without one. Null and empty
     texts have no paragraph. Rows keep their multiplicity; only text is read.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import input_bytes, joined, mix, slices, sum_by_key, text_bytes, words_of, written
+from stratakv.llm.textio import input_bytes, joined, mix, slices, small_batches, sum_by_key, text_bytes, words_of, written
 
 END = np.uint64(0xA0761D6478BD642F)
 START = np.uint64(0xE7037ED1A0B428DB)
@@ -136,6 +136,7 @@ def learn(docs: DataFrame, frequent: int = 1 << 20) -> Model:
 
     `frequent` bounds the unigrams whose exact counts are broadcast for the base score.
     """
+    small_batches(docs)
     bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / (4 << 20))), 5, 16))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +268,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
     shuffle by shard. Null and empty texts have one token, the end. Rows keep their multiplicity. With nothing learnt
     every token has probability 1.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_counts(model))
     in_memory = model.filter_bytes <= broadcast_bytes

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import slices, span_hashes, text_bytes
+from stratakv.llm.textio import slices, small_batches, span_hashes, text_bytes
 
 SIGN = "▁"
 #: Bytes of text from which a document is cut into chunks, and distinct segments that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 400_000
+CHUNK, REMEMBER = 1 << 20, 200_000
 
 
 class Codec:
@@ -138,6 +138,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     none and "". Texts over `chunk` bytes are cut, encoded anywhere and put together again; a text without a blank to
     cut at stays whole. Rows keep their multiplicity; columns not in `keep` are not read.
     """
+    small_batches(docs)
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(base64.b64encode(f.read()))
@@ -150,7 +151,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(base64.b64decode(shared.value))
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             raw, offsets = plain(*text_bytes(batch.column("text")))
             first = np.asarray(batch.column("chunk")) == 0
             ids, at = codec.encode(raw, offsets, first)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import slices, text_bytes
+from stratakv.llm.textio import slices, small_batches, text_bytes
 
 UND = "und"
 LETTER = r"\p{L}"
@@ -69,12 +69,14 @@ class ContextTrees:
 def grow(texts: dict[str, list[bytes]], order: int, min_count: int, most_cells: int) -> ContextTrees:
     """Trees from training texts. most_cells bounds states * symbols * languages: the rarest contexts go first."""
     languages = sorted(texts)
+    if not languages:
+        return ContextTrees([], np.zeros(256, np.int32), 1, order, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     streams = [np.frombuffer(b"\n".join(texts[name]), np.uint8) for name in languages]
     seen = np.unique(np.concatenate([np.zeros(0, np.uint8), *streams]))
-    symbol = np.full(256, len(seen), np.int64)  # the last symbol: any byte not seen in training
+    symbol = np.full(256, len(seen), np.int32)  # the last symbol: any byte not seen in training
     symbol[seen] = np.arange(len(seen))
     width, langs = len(seen) + 1, len(languages)
-    codes = [symbol[x] for x in streams]
+    codes = [symbol[x].astype(np.int64) for x in streams]
     # counts[k][j]: (context of k symbols, symbol) as a number in base width -> how often language j has it
     grams = []
     for k in range(order + 1):
@@ -169,16 +171,18 @@ def identify(docs: DataFrame, trees: ContextTrees, keep: tuple[Column | str, ...
     columns, of whatever names, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+    small_batches(docs)
     names = [f"keep_{i}" for i in range(len(keep))]
     cols = [F.col(c) if isinstance(c, str) else c for c in keep]
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    given = docs.select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], lettered.alias("lettered"), F.when(lettered, F.col("text")).alias("text"))
+    names = ["text" if isinstance(c, str) and c == "text" else n for c, n in zip(keep, names, strict=True)]  # sent once
+    given = docs.select(*[c.alias(n) for c, n in zip(cols, names, strict=True) if n != "text"], lettered.alias("lettered"), "text")
     fields = {f.name: f.dataType.simpleString() for f in given.schema.fields}
     schema = ", ".join(f"{n} {fields[n]}" for n in names) + ", lang_pred string, score double, bits_per_byte double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             lettered = np.asarray(batch.column("lettered")) & bool(own.languages)
             size = np.maximum(np.diff(offsets), 1)

@@ -134,6 +134,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 20) -
             low = high
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python in smaller batches than usual, unless the session asks for still smaller ones.
+
+    Ten thousand whole texts a batch would take more memory, on both sides, than all else that a task holds.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > rows or int(conf.get(name)) <= 0:
+        conf.set(name, rows)
+
+
 def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
     if not len(keys):
