@@ -107,9 +107,6 @@ def exists_anti(spark, d):
     return access.missing(_wanted(spark, d), kv_log(spark, d))
 
 
-NEW = "{0} AS change_time, {1} AS seq"
-
-
 def _after(extra: str, parts: str = "") -> str:
     kv = KV.replace("kv AS (", "kv AS (SELECT key, value, tombstone, change_time, seq FROM (", 1)
     return with_(kv[:-1] + f") UNION ALL {extra})", LWW, LIVE) + f"SELECT count(*) AS n_live, CAST(sum(seq) AS BIGINT) AS seq_sum, count(*) FILTER (WHERE key = 'u000003/4') AS n_key, max(value) FILTER (WHERE key = 'u000003/4') AS key_value FROM live{parts}"
