@@ -328,7 +328,7 @@ def open_groups(groups: DataFrame, label: DataFrame) -> DataFrame:
 
 def across_salts(members: DataFrame, label: DataFrame) -> DataFrame:
     """center, salt, other, doc: pairs of units of one center, one with what is not in the center's component, the other with all."""
-    n = members.groupBy("center").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (UNIT // 2)).cast("int")).where(F.col("n") > UNIT)
+    n = members.groupBy("center").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (UNIT * 2)).cast("int")).where(F.col("n") > UNIT)
     many = members.join(n.select("center", "salts"), "center")
     named = many.join(label.select(F.col("node").alias("doc"), F.col("component").alias("own")), "doc", "left")
     named = named.join(label.select(F.col("node").alias("center"), F.col("component").alias("main")), "center", "left")
