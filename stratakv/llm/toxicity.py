@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import LOWER, SPACE, slices, text_bytes
+from stratakv.llm.textio import LOWER, SPACE, slices, small_batches, text_bytes
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -56,8 +56,12 @@ def present(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     return pairs // max(features, 1), pairs % max(features, 1)
 
 
-def fit(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, features: int = 30_000, least: int = 3, alpha: float = 0.5, decay: float = 1e-3, rounds: int = 400) -> Classifier:
-    """Log-count ratios of presence in toxic and other texts scale the features; logistic regression weighs them."""
+def fit(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, features: int = 4000, evidence: float = 20.0, alpha: float = 0.5, decay: float = 10.0, rounds: int = 300) -> Classifier:
+    """Log-count ratios of presence in toxic and other texts scale the features; logistic regression weighs them.
+
+    N-grams whose presence tells the classes apart by a likelihood ratio statistic of `evidence` or more are features,
+    the `features` strongest of them. Both classes weigh the same in the fit.
+    """
     n, good, bad = len(label), int((label == 0).sum()), int((label == 1).sum())
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
     for i in range(n):
@@ -66,23 +70,27 @@ def fit(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, features: int =
         if own:
             counts[label[i], np.unique(np.concatenate(own))] += 1
     index = np.zeros(1 << BUCKET_BITS, np.int32)
-    prior = np.log(max(bad, 1) / max(good, 1))
     if not good or not bad:
         return Classifier(index, np.zeros(1), float(np.clip((bad > 0) * 8.0 - 4.0, -4, 4)))
     p, q = (counts[1] + alpha) / (bad + 2 * alpha), (counts[0] + alpha) / (good + 2 * alpha)
     ratio = np.log(p / q)
-    gain = np.abs(counts[1] / bad - counts[0] / good) * np.abs(ratio)
-    gain[counts.sum(0) < least] = 0
-    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(features, int((gain > 0).sum()))])
+    gain = np.zeros(1 << BUCKET_BITS)
+    both = counts.sum(0)
+    for side, size in ((0, good), (1, bad)):
+        for seen, margin in ((counts[side], both), (size - counts[side], n - both)):
+            on = seen > 0
+            gain[on] += 2 * seen[on] * np.log(seen[on] / (margin[on] * (size / n)))
+    chosen = np.sort(np.argsort(-gain, kind="stable")[: min(features, int((gain >= evidence).sum()))])
     index[chosen] = np.arange(1, len(chosen) + 1)
     scale = ratio[chosen]
     row, feature = present(raw, offsets, index)
     x = scale[feature]
-    w, b = np.zeros(len(chosen)), prior
+    share = np.where(label == 1, 0.5 / bad, 0.5 / good)
+    w, b = np.zeros(len(chosen)), 0.0
     mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.clip(np.bincount(row, x * w[feature], n) + b, -40, 40)
-        error = (1 / (1 + np.exp(-z)) - label) / n
+        error = (1 / (1 + np.exp(-z)) - label) * share
         slope = np.concatenate([np.bincount(feature, x * error[row], len(chosen)) + decay / n * w, [error.sum()]])
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
@@ -136,6 +144,7 @@ def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",
     """
     at = np.flatnonzero(model.index)
     shared = docs.sparkSession.sparkContext.broadcast((at, model.index[at], model.weight, model.bias))
+    small_batches(docs)
     given = docs.select(*keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "text") + ", score double, predicted int"
 
