@@ -309,7 +309,7 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     label = components(links_in_units(units, texts, words, bands))
     again = open_groups(groups, label)
     label = components(links_in_units(again, texts, words, bands).union(label))
-    rest = across_salts(open_groups(groups, label), label)
+    rest = across_salts(open_groups(groups, label), salted_centers(again), label)
     if not rest.isEmpty():
         label = components(links_of(rest, ["center", "salt", "other"], texts, words, bands).union(label))
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"))
@@ -326,9 +326,18 @@ def open_groups(groups: DataFrame, label: DataFrame) -> DataFrame:
     return written(groups.join(still, ["group_id", "center"], "left_semi").select("center", "doc").distinct(), "jaccard-open", 1 + groups.count() // 200_000)
 
 
-def across_salts(members: DataFrame, label: DataFrame) -> DataFrame:
-    """center, salt, other, doc: pairs of units of one center, one with what is not in the center's component, the other with all."""
-    n = members.groupBy("center").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (UNIT * 2)).cast("int")).where(F.col("n") > UNIT)
+def salted_centers(units: DataFrame) -> DataFrame:
+    """center: those whose members links_in_units met in several units, so that not all of their pairs are decided."""
+    return units.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") > UNIT).select("center")
+
+
+def across_salts(members: DataFrame, salted: DataFrame, label: DataFrame) -> DataFrame:
+    """center, salt, other, doc: pairs of units of one center, one with what is not in the center's component, the other with all.
+
+    Of the centers in `salted`, however few members are left to each: groups that have closed since don't decide others.
+    """
+    members = members.join(salted, "center", "left_semi")
+    n = members.groupBy("center").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / (UNIT * 2)).cast("int"))
     many = members.join(n.select("center", "salts"), "center")
     named = many.join(label.select(F.col("node").alias("doc"), F.col("component").alias("own")), "doc", "left")
     named = named.join(label.select(F.col("node").alias("center"), F.col("component").alias("main")), "center", "left")

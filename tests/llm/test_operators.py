@@ -235,6 +235,19 @@ def test_jaccard_equals_brute_force_on_chains_of_edits(spark, n, num, den, monke
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, n, num, den)
 
 
+def test_jaccard_decides_a_small_group_left_open_by_a_salted_center(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT", 16)
+    text = lambda word, last="": " ".join(f"{word}{i}" for i in range(60)) + last
+    copies, others = range(100, 130), range(200, 206)
+    rows = [(i, text(f"own{i}")) for i in range(10)] + [(10, text("f"))] + [(i, text("f", f" e{i}")) for i in copies] + [(i, text("x", f" e{i}")) for i in others]
+    # copies first meet around 0, the others each around a document of its own, all of them around 10 only then
+    groups = [(1, 0, [0, *copies]), (2, 10, [10, *copies]), (3, 10, [10, *others])] + [(10 + k, k, [k, i]) for k, i in enumerate(others, 1)]
+    table = spark.createDataFrame([(g, c, i) for g, c, own in groups for i in own], "group_id long, center long, doc long")
+    monkeypatch.setattr(jaccard, "join_groups", lambda *_: table)
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 5, 80, 100)
+
+
 def test_jaccard_awkward_rows(awkward, nothing):
     got = collections.defaultdict(list)
     for r in jaccard.similar_documents(awkward, 3, 90, 100).collect():
