@@ -154,7 +154,8 @@ def hamming(a: Column, b: Column) -> Column:
 def near_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints at most `most` (up to 3) bits apart: they share one of four bands of 16 bits.
 
-    Copies of a fingerprint count once, as its smallest doc_id, so identical documents make no pairs here.
+    Copies of a fingerprint count once, as its smallest doc_id, so identical documents make no pairs here: print_classes
+    has the documents that each of these ids stands for.
     """
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     bands = one.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("bits", F.expr("substring(fingerprint, band * 16 + 1, 16)"))
@@ -163,6 +164,12 @@ def near_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
     return pairs.where(F.col("distance") <= most).distinct()
 
 
+def print_classes(prints: DataFrame) -> DataFrame:
+    """doc_id, class_id of every document: the smallest doc_id with its fingerprint, which near_pairs has for all of them."""
+    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    return prints.join(one, "fingerprint").select("doc_id", "class_id")
+
+
 def simhash_pack(doc: str, words: list[str], bits: str) -> bytes:
     text, tokens = doc.encode(), "\n".join(words).encode()
     return struct.pack("<QQ", len(text), len(tokens)) + text + tokens + np.array([int(b) for b in bits], np.uint8).tobytes()

@@ -499,6 +499,12 @@ def near_dup_docs(spark, d):
     return sketches.near_pairs(_prints(spark, d), 3)
 
 
+@query(with_(SIMHASH, ONE) + "SELECT prints.doc_id, one.doc_id AS class_id FROM prints JOIN one USING (fingerprint)")
+def near_dup_members(spark, d):
+    """Documents of each class in near_dup_docs, which has the pairs between classes; those of one class are at distance 0."""
+    return sketches.print_classes(_prints(spark, d))
+
+
 # Hash functions, rate limits, request log
 
 

@@ -151,3 +151,9 @@ def test_merkle_says_what_changed_or_that_shapes_differ(spark):
 def test_config_defaults():
     own = Config.load('{"lruCap": 0, "memTableCap": 9, "walSegmentSize": 5, "compType": "odd", "probab": 0.5}')
     assert (own.lruCap, own.indexEl, own.summaryEl, own.walSegmentSize, own.compType, own.probab) == (2, 3, 4, 1000, "size", 0.01)
+
+
+def test_documents_of_one_fingerprint_are_all_in_a_class(spark):
+    rows = [(3, "red green blue"), (5, "blue red GREEN"), (8, "the red green blue"), (9, "other words altogether")]
+    prints = sketches.simhash(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in sketches.print_classes(prints).collect()} == {(3, 3), (5, 3), (8, 3), (9, 9)}
