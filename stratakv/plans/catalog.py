@@ -268,6 +268,13 @@ def overlap_runs(spark, d):
     return runs.overlaps(narrow.where("run_id % 2 = 0"), narrow.where("run_id % 2 = 1")).select("upper_run", "lower_run")
 
 
+@query(with_(KV, RUNS, STATS) + "SELECT a.run_id AS upper_run, b.run_id AS lower_run FROM stats a JOIN stats b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1")
+def overlap_flushed_runs(spark, d):
+    """Even and odd runs of the whole flushed log whose key ranges meet; overlap_runs has those of three records a run."""
+    stats = runs.run_stats(_runs(spark, d))
+    return runs.overlaps(stats.where("run_id % 2 = 0"), stats.where("run_id % 2 = 1")).select("upper_run", "lower_run")
+
+
 @query(with_(KV, RUNS, STATS) + "SELECT level, count(*) AS n_runs, count(*) >= 5 AND level < 3 AS compact FROM (SELECT CAST(run_id % 4 AS INT) AS level FROM stats) GROUP BY level")
 def compaction_plan_size(spark, d):
     return runs.plan_size_tiered(runs.run_stats(_runs(spark, d)).withColumn("level", (F.col("run_id") % 4).cast("int")), 5, 4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratakv.functions import hashing, sketches
 from stratakv.operators import access, integrity, merge, ratelimit, runs
+from stratakv.plans import catalog
 from stratakv.schema import LOG, Config
 from stratakv.sources import wal
 from stratakv.streaming import flows
@@ -157,3 +158,11 @@ def test_documents_of_one_fingerprint_are_all_in_a_class(spark):
     rows = [(3, "red green blue"), (5, "blue red GREEN"), (8, "the red green blue"), (9, "other words altogether")]
     prints = sketches.simhash(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in sketches.print_classes(prints).collect()} == {(3, 3), (5, 3), (8, 3), (9, 9)}
+
+
+def test_overlaps_come_from_every_record_of_the_runs(spark, monkeypatch):
+    """Runs meet through records 3 to 49 of each 50 as well."""
+    own = [(f"k{seq % 50 if seq < 500 else 90 + seq % 3 if seq % 50 < 3 else 20}", seq) for seq in range(1000)]
+    log = spark.createDataFrame([(k, seq, 1.0, False, dt.datetime(2024, 1, 1)) for k, seq in own], "key string, seq long, value double, tombstone boolean, change_time timestamp")
+    monkeypatch.setattr(catalog, "kv_log", lambda *_: log)
+    assert [tuple(r) for r in catalog.queries()["overlap_flushed_runs"](spark, "").collect()] == [(0, 1)]
