@@ -44,8 +44,8 @@ for _b in range(256):
         _KIND[_b] = _b
 
 
-def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(line, bucket) of all word n-grams, the lines' starts, and the row of each line. N-grams stay within a line."""
+def words_in_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line of every word, the lines' starts, and the row of each line."""
     kind = _KIND[raw]
     full = np.flatnonzero(np.diff(offsets) > 0)
     lines = np.unique(np.concatenate([offsets[full], np.flatnonzero(kind == 10) + 1]))
@@ -56,19 +56,30 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner = cut[(kind[cut] != 32) & (kind[cut] != 10) & (kind[cut - 1] != 32) & (kind[cut - 1] != 10)] if len(cut) else cut
     if len(inner):
         start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
-    word = span_hashes(kind, start, end)
-    line = np.searchsorted(lines, start, "right") - 1
-    out_line, out_bucket = [], []
+    return span_hashes(kind, start, end), np.searchsorted(lines, start, "right") - 1, lines, row
+
+
+def ngrams(word: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word and bucket of all word n-grams whose words have one `within`."""
+    first, last, buckets = [], [], []
     h = np.zeros(len(word), np.uint64)
     for n in range(1, NGRAMS + 1):
         if len(word) < n:
             break
         h = mix(h[: len(word) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + word[n - 1 :] + np.uint64(n))
-        same = line[: len(h)] == line[n - 1 :]
-        out_line.append(line[: len(h)][same])
-        out_bucket.append((h[same] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        at = np.flatnonzero(within[: len(h)] == within[n - 1 :])
+        first.append(at)
+        last.append(at + n - 1)
+        buckets.append((h[at] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
     none = np.zeros(0, np.int64)
-    return np.concatenate(out_line or [none]), np.concatenate(out_bucket or [none]), lines, row
+    return np.concatenate(first or [none]), np.concatenate(last or [none]), np.concatenate(buckets or [none])
+
+
+def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, bucket) of all word n-grams, the lines' starts, and the row of each line. N-grams stay within a line."""
+    word, line, lines, row = words_in_lines(raw, offsets)
+    first, _, bucket = ngrams(word, line)
+    return line[first], bucket, lines, row
 
 
 def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +97,7 @@ class Scanner:
     bias: np.ndarray
     temperature: float = 1.0
     templates: dict[str, list[np.ndarray]] = field(default_factory=dict)
+    several: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each template, its n-grams of two words or more
 
     def logits(self, line: np.ndarray, bucket: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
         """Lines with a feature, and their logits; every other line has those of the bias."""
@@ -169,14 +181,113 @@ def fit(texts: list[str], names: list[str], held: np.ndarray, rounds: int = 300,
         loss = (np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), label[held]]).mean()
         best = min(best, (float(loss), float(temperature)))
     model.temperature = best[1]
+    several = []
     for name, own in TEMPLATES.items():
         model.templates[name] = []
         for template in own:
-            _, b, _, _ = grams(*flat([template]))
+            word, at, _, _ = words_in_lines(*flat([template]))
+            _, _, b = ngrams(word, at)
             model.templates[name].append(np.unique(b))
+            several.append(len(np.setdiff1d(b, b[: len(word)])))
+    model.several = np.array(several)
     return model
 
 
+def in_blocks(model: Scanner, word: np.ndarray, line: np.ndarray, row: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, bool]]:
+    """(row, family, probability, confirmed) of notices in blocks of several lines, n-grams spanning their line feeds.
+
+    A block ends at a line without a word. It is read as a whole, and, where it has enough of a template, by the windows
+    of its lines that have `overlap` of that template, so that what stands around a notice doesn't hide it. A window is
+    passed over when, with the lines beside it that have more of the template, it is nearest to another family.
+    """
+    if not len(word):
+        return []
+    new = np.ones(len(word), bool)
+    new[1:] = (np.diff(line) > 1) | (row[line[1:]] != row[line[:-1]])
+    start = np.flatnonzero(new)
+    long = np.repeat(line[start] != line[np.append(start[1:], len(word)) - 1], np.diff(np.append(start, len(word))))
+    block = (np.cumsum(new) - 1)[long]
+    word, line, doc = word[long], line[long], row[line[start]]
+    first, last, bucket = ngrams(word, block)
+    own, unknown, found = block[first], len(model.families) - 1, []
+    templates = [(model.families.index(name), t) for name, some in model.templates.items() for t in some]
+    some, logits = model.logits(own, bucket, len(start))
+    p = model.probabilities(logits) if len(some) else logits
+    for i in np.flatnonzero((p.argmax(1) != unknown) & (p.max(1) >= threshold)) if len(some) else ():
+        has, best = np.unique(bucket[own == some[i]]), int(p[i].argmax())
+        found.append((int(doc[some[i]]), best, float(p[i, best]), any(np.isin(t, has).mean() >= overlap for f, t in templates if f == best)))
+    # blocks that may have enough of a template, whose n-grams of one word are taken as there
+    of = np.concatenate([np.full(len(t), k) for k, (_, t) in enumerate(templates)])
+    keys = np.concatenate([t for _, t in templates])
+    by = np.argsort(keys, kind="stable")
+    keys, of = keys[by], of[by]
+    size, several = np.bincount(of), model.several
+    wanted = np.zeros(1 << BUCKET_BITS, bool)
+    wanted[keys] = True
+    on = np.flatnonzero(wanted[bucket] & (last > first))
+    pairs = np.unique(own[on] << BUCKET_BITS | bucket[on])
+    low, high = (np.searchsorted(keys, pairs & ((1 << BUCKET_BITS) - 1), side) for side in ("left", "right"))
+    take = np.repeat(low, high - low) + np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    both, count = np.unique(np.repeat(pairs >> BUCKET_BITS, high - low) * len(templates) + of[take], return_counts=True)
+    near = both[count + (size - several)[both % len(templates)] >= overlap * size[both % len(templates)]]
+    order = np.argsort(own, kind="stable") if len(near) else own[:0]
+    for at, k in zip(near // len(templates), near % len(templates), strict=True):
+        a, b = np.searchsorted(own[order], [at, at + 1])
+        of_block = order[a:b]
+        for family, probability in windows(model, line[first[of_block]], line[last[of_block]], bucket[of_block], *templates[k], threshold, overlap):
+            found.append((int(doc[at]), family, probability, True))
+    return found
+
+
+def windows(model: Scanner, start: np.ndarray, end: np.ndarray, bucket: np.ndarray, family: int, template: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, float]]:
+    """(family, probability) of windows of one block's lines that name the family and have `overlap` of its template, from n-grams' lines and buckets."""
+    low = int(start.min())
+    keys, of = np.unique(bucket, return_inverse=True)
+    inside, feature = np.isin(keys, template), model.index[keys]
+    use = np.flatnonzero((inside | (feature > 0))[of])
+    start, end, of = start[use] - low, end[use] - low, of[use]
+    weight = model.weight[np.maximum(feature, 1) - 1] * (feature > 0)[:, None]
+    n, unknown = int(end.max(initial=-1)) + 1, len(model.families) - 1
+    by_end, by_start = np.argsort(end, kind="stable"), np.argsort(start, kind="stable")
+    end_at, start_at = np.searchsorted(end[by_end], np.arange(n + 1)), np.searchsorted(start[by_start], np.arange(n + 1))
+    seen, total, number, cover, i = np.zeros(len(keys), np.int64), np.zeros(len(model.families)), 0, 0, 0
+    named = []
+    for j in range(n):
+        ids = by_end[end_at[j] : end_at[j + 1]]
+        these, count = np.unique(of[ids[start[ids] >= i]], return_counts=True)
+        fresh = these[seen[these] == 0]
+        seen[these] += count
+        total, number, cover = total + weight[fresh].sum(0), number + int((feature[fresh] > 0).sum()), cover + int(inside[fresh].sum())
+        while cover >= overlap * len(template):
+            p = model.probabilities((total / np.sqrt(max(number, 1)) + model.bias)[None])[0]
+            if p.argmax() == family and p.max() >= threshold:
+                named.append((i, j, cover, family, float(p.max())))
+            ids = by_start[start_at[i] : start_at[i + 1]]
+            these, count = np.unique(of[ids[end[ids] <= j]], return_counts=True)
+            gone = these[seen[these] == count]
+            if cover - int(inside[gone].sum()) < overlap * len(template):
+                break
+            seen[these] -= count
+            total, number, cover, i = total - weight[gone].sum(0), number - int((feature[gone] > 0).sum()), cover - int(inside[gone].sum()), i + 1
+
+    def judge(i: int, j: int) -> tuple[int, int]:
+        """Template's n-grams in lines i to j, and the nearest family."""
+        these = np.unique(of[(start >= i) & (end <= j)])
+        logits = weight[these].sum(0) / np.sqrt(max(int((feature[these] > 0).sum()), 1)) + model.bias
+        return int(inside[these].sum()), int(logits.argmax())
+
+    out = []
+    for i, j, cover, family, probability in named:
+        low, high, about = i, j, (cover, family)
+        while low > 0 and (wider := judge(low - 1, high))[0] > about[0]:
+            low, about = low - 1, wider
+        while high < n - 1 and (wider := judge(low, high + 1))[0] > about[0]:
+            high, about = high + 1, wider
+        if about[1] in (family, unknown):
+            out.append((family, probability))
+    return out
+
+
 def learn(docs: DataFrame, negatives: int = 3000, copies: int = 24, seed: int = 5) -> Scanner:
     """A scanner from the templates and, for the unknown class, at most `negatives` lines of docs without a licence word."""
     line = F.explode(F.split("text", "\n"))
@@ -194,8 +305,9 @@ def learn(docs: DataFrame, negatives: int = 3000, copies: int = 24, seed: int =
 def scan(docs: DataFrame, model: Scanner, threshold: float = 0.5, overlap: float = 0.6) -> DataFrame:
     """doc_id, n_paragraphs, licences, unconfirmed, score of every row of docs.
 
-    A paragraph is a line. It names a family when that family's calibrated probability is `threshold` or more, and is
-    confirmed when `overlap` of the word n-grams of one of the family's templates are in it. licences: sorted distinct
+    A paragraph is a line; lines without one that has no word between them are read together as well (see in_blocks), so
+    that notices may be wrapped. Either names a family when that family's calibrated probability is `threshold` or more,
+    and is confirmed when `overlap` of the word n-grams of one of the family's templates are in it. n_paragraphs counts lines. licences: sorted distinct
     confirmed families; unconfirmed: those only named; score: the highest confirmed probability, 0 without one. Null and empty
     texts have no paragraph. Rows keep their multiplicity; only text is read.
     """
@@ -207,7 +319,9 @@ def scan(docs: DataFrame, model: Scanner, threshold: float = 0.5, overlap: float
         unknown = len(own.families) - 1
         for batch in slices(batches, "text", 4 << 20):
             raw, offsets = text_bytes(batch.column("text"))
-            line, bucket, lines, row = grams(raw, offsets)
+            word, line_of, lines, row = words_in_lines(raw, offsets)
+            first, _, bucket = ngrams(word, line_of)
+            line = line_of[first]
             some, logits = own.logits(line, bucket, len(lines))
             p = own.probabilities(logits)
             best = p.argmax(1)
@@ -224,6 +338,10 @@ def scan(docs: DataFrame, model: Scanner, threshold: float = 0.5, overlap: float
                     score[doc] = max(score[doc], p[i, best[i]])
                 else:
                     unsure[doc].add(family)
+            for doc, number, probability, confirmed in in_blocks(own, word, line_of, row, threshold, overlap):
+                (sure if confirmed else unsure)[doc].add(own.families[number])
+                if confirmed:
+                    score[doc] = max(score[doc], probability)
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64)), pa.array([sorted(s) for s in sure], strings), pa.array([sorted(u - s) for s, u in zip(sure, unsure, strict=True)], strings), pa.array(score)], names=["doc_id", "n_paragraphs", "licences", "unconfirmed", "score"])
 

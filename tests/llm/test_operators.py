@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -360,6 +361,26 @@ def test_licences_are_named_confirmed_or_left_unknown(spark, docs):
     assert licences.scan(df.where("false"), licences.learn(docs.where("false"))).count() == 0
 
 
+def test_wrapped_licences_are_those_of_one_line(spark, docs):
+    notices = [(name, t) for name, own in licences.TEMPLATES.items() for t in own]
+    code = ["def f(x):", "    return the_value_of(x)", "", "# more of the code below"]
+    rows, want = [], {}
+    for width, mark, around in ((76, "", []), (40, " * ", []), (60, "# ", code[:2] * 20)):
+        for name, notice in notices:
+            want[len(rows)] = name
+            rows.append((len(rows), "\n".join([*around, *(mark + x for x in textwrap.wrap(notice, width)), *around])))
+    model = licences.learn(docs)
+    flat = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    plain = {r["doc_id"]: r["licences"] for r in licences.scan(flat, model).collect()}
+    assert all(plain[i] == [name] for i, (name, _) in enumerate(notices))
+    wrapped = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(wrapped, model).collect()}
+    lines = {r["doc_id"]: r["licences"] for r in licences.scan(wrapped.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), model).collect()}
+    assert {i: (rows[i][1], g) for i, g in got.items() if want[i] not in g or set(g) - {want[i]} - set(lines[i])} == {}
+    apart = spark.createDataFrame([(0, "Released under the\n\nMIT\n\nLicense."), (1, "Released under the MIT License.\nLicensed under the\nApache License, Version 2.0.")], "doc_id long, text string")
+    assert {r["doc_id"]: r["licences"] for r in licences.scan(apart, model).collect()} == {0: [], 1: ["apache-2.0", "mit"]}
+
+
 def test_language_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.op10_language(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id").where("held_out").collect()
