@@ -1,12 +1,16 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-All documents' lines form one sequence, ordered by doc_id and line number and cut at the ends of documents. Prefix
-doubling over it names the block of 2^k lines at every position from the names of its halves; a shuffle by name finds
-the blocks that occur more than once and the first position of each. Suffixes with one name at depth 2^k are an interval
-of the suffix array whose longest common prefix is 2^k lines or more, and the first of them is the copy that stays.
-Only positions whose halves both occur twice go on to the next depth. A maximal repeated run of `run_lines` lines or
-more is the union of its blocks of run_lines lines, so doubling can stop at that depth: deeper names would only regroup
-the same lines. The order among names is never needed, so names are 64-bit hashes rather than ranks.
+All documents' lines form one sequence, ordered by doc_id and line number and cut at the ends of documents. Its suffixes
+are sorted by prefix doubling: the rank of a position at depth d is the number of positions whose next d lines come
+before its own, and the pair of ranks at a position and d lines on gives the order at depth 2d. A pair goes to a range
+of ranks, so a shard sorts its own part of the suffix array, and counts of the shards before it give the offset.
+Positions of one rank at depth d are an interval of the suffix array whose longest common prefix is d lines or more;
+its first position in the corpus is the copy that stays. A position alone in its interval has its final place and takes
+no further part, nor does one whose next d lines no other position has: no longer run starts there. Doubling goes on
+until no interval is left, that is beyond the longest repeated run. A maximal repeated run is the union of its
+intervals' blocks, and the later copies' lines go.
+
+A line's identity is the 128-bit hash of its bytes; ranks are exact from there on.
 """
 
 from __future__ import annotations
@@ -15,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.ngramlm import by_shard
-from stratakv.llm.textio import SPACE, input_bytes, joined, mix, slices, small_batches, span_hashes, text_bytes, written
+from stratakv.llm.textio import SPACE, discard, fresh, input_bytes, joined, named, slices, small_batches, text_bytes, written
+
+#: Bytes of what positions ask that meet in one shard.
+SHARD_BYTES = 4 << 20
 
 
 def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,11 +55,10 @@ def lines_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, at, words
 
 
-def line_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    ids = np.full(len(start), 0x2545F4914F6CDD1D, np.uint64)
-    full = end > start
-    ids[full] = span_hashes(raw, start[full], end[full])
-    return ids
+def line_ids(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """16 bytes a line."""
+    whole, digest = raw.tobytes(), xxhash.xxh3_128_digest
+    return b"".join([digest(whole[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -62,12 +68,12 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 8 << 20):
             raw, offsets = text_bytes(batch.column("text"))
             start, end, at, words = lines_of(raw, offsets)
-            ids = line_ids(raw, start, end)
+            ids, words = line_ids(raw, start, end), words.astype(np.uint32)
             cut = list(zip(at[:-1], at[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([ids[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([words[a:b].astype(np.uint32).tobytes() for a, b in cut], pa.binary())], names=["doc_id", "digest", "ids", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([ids[16 * a : 16 * b] for a, b in cut], pa.binary()), pa.array([words[a:b].tobytes() for a, b in cut], pa.binary())], names=["doc_id", "digest", "ids", "words"])
 
     given = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    return given.mapInArrow(read, "doc_id long, digest long, ids binary, words binary").dropDuplicates(["doc_id", "digest"])
+    return given.where(F.col("doc_id").isNotNull()).mapInArrow(read, "doc_id long, digest long, ids binary, words binary").dropDuplicates(["doc_id", "digest"])
 
 
 def chunk_table(lines: DataFrame, most: int) -> DataFrame:
@@ -79,7 +85,7 @@ def chunk_table(lines: DataFrame, most: int) -> DataFrame:
         size = 0
 
         def chunk() -> pa.RecordBatch:
-            count = [len(d["ids"]) // 8 for d in held]
+            count = [len(d["words"]) // 4 for d in held]
             pack_of = {"doc_ids": np.array([d["doc_id"] for d in held], np.int64), "digests": np.array([d["digest"] for d in held], np.int64), "ends": np.cumsum(count).astype(np.int64)}
             row = {"chunk": [number], **{c: [v.tobytes()] for c, v in pack_of.items()}, "ids": [b"".join(d["ids"] for d in held)], "words": [b"".join(d["words"] for d in held)]}
             held.clear()
@@ -88,137 +94,183 @@ def chunk_table(lines: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 held.append(row)
-                size += len(row["ids"]) // 8 + 1
+                size += len(row["words"]) // 4 + 1
                 if size >= most:
                     yield chunk()
                     number, size = number + 1, 0
         if held:
             yield chunk()
 
-    tasks = int(np.clip(input_bytes(lines) // (4 << 20), 16, 4096))
-    ordered = lines.repartitionByRange(tasks, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    tasks = max(16, input_bytes(lines) // (8 << 20))
+    ordered = lines.repartitionByRange(int(tasks), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     return written(ordered.mapInArrow(pack, "chunk long, doc_ids binary, digests binary, ends binary, ids binary, words binary"), "line-chunks")
 
 
-class Chunk:
-    """One chunk's names at a depth, and what is known of them."""
-
-    def __init__(self, row: dict):
-        self.number = row["chunk"]
-        self.doc_ids, self.digests, self.ends = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "digests", "ends"))
-        self.ids, self.words = np.frombuffer(row["ids"], np.uint64), np.frombuffer(row["words"], np.uint32).astype(np.int64)
-        self.end = np.repeat(self.ends, np.diff(np.concatenate([[0], self.ends])))
-
-    def names(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions with 2^depth lines of their document from there on, and the blocks' names."""
-        name, half = self.ids, 1
-        for k in range(depth):
-            name = mix(name[: max(len(name) - half, 0)] * np.uint64(0x9E3779B97F4A7C15) + mix(name[half:] + np.uint64(k + 1)))
-            half *= 2
-        at = np.flatnonzero(np.arange(len(name)) + (1 << depth) <= self.end[: len(name)])
-        return at, name[at]
-
-    def asked(self, depth: int, active: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the active positions: place, the place's name as a number, and per number its name and first place."""
-        at, name = self.names(depth)
-        if active is not None:
-            on = active[at]
-            at, name = at[on], name[on]
-        kind, first, of = np.unique(name, return_index=True, return_inverse=True)
-        return at, of.reshape(-1), kind, at[first]
-
-    def resolve(self, depth: int, active: np.ndarray | None, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """For every position: its block occurs more than once; and earlier as well."""
-        at, of, kind, first = self.asked(depth, active)
-        elsewhere, before = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
-        number = {int(p): i for i, p in enumerate(first)}
-        for row in replies:
-            if row["depth"] == depth:
-                mine = [number[int(p)] for p in np.frombuffer(row["places"], np.int64)]
-                elsewhere[mine] = True
-                before[mine] = np.frombuffer(row["before"], bool)
-        more = elsewhere | (np.bincount(of, minlength=len(kind)) > 1)
-        repeated, earlier = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), bool)
-        repeated[at] = more[of]
-        earlier[at] = before[of] | (at > first[of])
-        return repeated, earlier
-
-    def active(self, depth: int, replies: list[dict]) -> np.ndarray | None:
-        """Positions whose blocks of both halves occur more than once; None (all) at depth 0."""
-        active = None
-        for k in range(depth):
-            repeated, _ = self.resolve(k, active, replies)
-            half = 1 << k
-            active = repeated.copy()
-            active[: max(len(repeated) - half, 0)] &= repeated[half:]
-            active[max(len(repeated) - half, 0) :] = False
-        return active
-
-
-def chunk_of(table: pa.Table) -> Chunk:
-    return Chunk({c: table.column(c)[0].as_py() for c in ("chunk", "doc_ids", "digests", "ends", "ids", "words")})
-
-
-REPLY = "chunk long, depth int, places binary, before binary"
-
-
-def replies_at(chunks: DataFrame, known: DataFrame, depth: int, bits: int) -> DataFrame:
-    """known and, for blocks of 2^depth lines, which chunks' names other chunks have too, and which have them earlier.
-
-    A chunk asks once for each name, so a line that fills a third of all rows sends one number a chunk.
-    """
-
-    def ask(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        own = chunk_of(chunk)
-        _, _, kind, first = own.asked(depth, own.active(depth, replies.to_pylist()))
-        some = by_shard(kind, bits)
-        return pa.table({"shard": pa.array([s for s, _, _ in some], pa.int32()), "chunk": pa.array([own.number] * len(some), pa.int64()), "names": pa.array([kind[a:b].tobytes() for _, a, b in some], pa.binary()), "places": pa.array([first[a:b].tobytes() for _, a, b in some], pa.binary())})
-
-    def answer(key: tuple, asked: pa.Table) -> pa.Table:
-        names, places = joined(asked.column("names"), np.uint64), joined(asked.column("places"), np.int64)
-        chunk = np.repeat(np.asarray(asked.column("chunk").combine_chunks()), [len(b) // 8 for b in asked.column("names").to_pylist()])
-        order = np.lexsort((chunk, names))
-        names, places, chunk = names[order], places[order], chunk[order]
-        new = np.concatenate([[True], names[1:] != names[:-1]])
-        start = np.flatnonzero(new)
-        several = np.repeat(np.diff(np.append(start, len(names))) > 1, np.diff(np.append(start, len(names))))
-        chunk, places, later = chunk[several], places[several], ~new[several]
-        order = np.argsort(chunk, kind="stable")
-        chunk, places, later = chunk[order], places[order], later[order]
-        number, first, n = np.unique(chunk, return_index=True, return_counts=True)
-        cut = list(zip(first, first + n, strict=True))
-        return pa.table({"chunk": number.astype(np.int64), "depth": pa.array([depth] * len(number), pa.int32()), "places": pa.array([places[a:b].tobytes() for a, b in cut], pa.binary()), "before": pa.array([later[a:b].tobytes() for a, b in cut], pa.binary())})
-
-    asks = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(ask, "shard int, chunk long, names binary, places binary")
-    return written(known.union(asks.groupBy("shard").applyInArrow(answer, REPLY)), "line-replies")
+#: One row a chunk and kind. kind 0: places with an earlier copy at this depth. kind 1: places still in question, the
+#: ends of their documents, and the two keys that order them. kind 2: distinct keys of a chunk for one shard, how often the
+#: chunk has them, and where first.
+STATE = "kind int, depth int, chunk long, shard long, places binary, ends binary, key1 binary, key2 binary, counts binary"
+#: One row a chunk and shard: for the first place of a key in the chunk, the rank within the shard, the interval's size,
+#: and whether an earlier chunk has it.
+REPLY = "shard long, chunk long, total long, places binary, ranks binary, sizes binary, before binary"
+
+
+def state_rows(rows: list[dict]) -> pa.Table:
+    kinds = {"kind": pa.int32(), "depth": pa.int32(), "chunk": pa.int64(), "shard": pa.int64()}
+    return pa.table({f.split()[0]: pa.array([r.get(f.split()[0]) for r in rows], kinds.get(f.split()[0], pa.binary())) for f in STATE.split(", ")})
+
+
+def classes(key1: np.ndarray, key2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of every distinct pair of keys, in order of the pairs, and each place's number among them."""
+    order = np.lexsort((key2, key1))
+    new = np.ones(len(order), bool)
+    new[1:] = (key1[order[1:]] != key1[order[:-1]]) | (key2[order[1:]] != key2[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def questions(chunk: int, depth: int, places: np.ndarray, ends: np.ndarray, key1: np.ndarray, key2: np.ndarray, shard: np.ndarray) -> list[dict]:
+    """The rows of kinds 1 and 2. shard: of each place, rising with the keys."""
+    if not len(places):
+        return []
+    first, number = classes(key1, key2)
+    counts = np.bincount(number, minlength=len(first))
+    own = {"depth": depth, "chunk": chunk}
+    rows = [own | {"kind": 1, "places": places.tobytes(), "ends": ends.tobytes(), "key1": key1.tobytes(), "key2": key2.tobytes()}]
+    of = shard[first]
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        these = first[a:b]
+        rows.append(own | {"kind": 2, "shard": int(of[a]), "places": places[these].tobytes(), "key1": key1[these].tobytes(), "key2": key2[these].tobytes(), "counts": counts[a:b].astype(np.int64).tobytes()})
+    return rows
+
+
+def answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """Ranks of the keys that occur more than once in the corpus, for the chunks that asked."""
+    key1, key2, places, counts = (joined(asked.column(c), t) for c, t in (("key1", np.uint64), ("key2", np.uint64), ("places", np.int64), ("counts", np.int64)))
+    chunk = np.repeat(np.asarray(asked.column("chunk").combine_chunks()), [len(b) // 8 for b in asked.column("places").to_pylist()])
+    order = np.lexsort((chunk, key2, key1))
+    key1, key2, places, counts, chunk = key1[order], key2[order], places[order], counts[order], chunk[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key1[1:] != key1[:-1]) | (key2[1:] != key2[:-1])
+    start = np.flatnonzero(new)
+    size = np.add.reduceat(counts, start)
+    kept = np.where(size > 1, size, 0)
+    rank, each = np.cumsum(kept) - kept, np.diff(np.append(start, len(order)))
+    on = np.repeat(size > 1, each)
+    rank, size, before = np.repeat(rank, each)[on], np.repeat(size, each)[on], ~new[on]
+    places, chunk = places[on], chunk[on]
+    order = np.argsort(chunk, kind="stable")
+    number, first, n = np.unique(chunk[order], return_index=True, return_counts=True)
+    cut = [order[a : a + m] for a, m in zip(first, n, strict=True)]
+    columns = {"shard": pa.array([key[0].as_py()] * len(cut), pa.int64()), "chunk": number.astype(np.int64), "total": pa.array([int(kept.sum())] * len(cut), pa.int64())}
+    return pa.table(columns | {c: pa.array([v[at].tobytes() for at in cut], pa.binary()) for c, v in (("places", places), ("ranks", rank), ("sizes", size), ("before", before))})
+
+
+def first_questions(chunks: DataFrame, shards: int) -> DataFrame:
+    """Every line of a chunk, by the upper bits of its id."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, ends = np.frombuffer(row["ids"], np.uint64).reshape(-1, 2), np.frombuffer(row["ends"], np.int64)
+                end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+                key1 = np.ascontiguousarray(ids[:, 0])
+                shard = ((key1 >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                yield from state_rows(questions(row["chunk"], 0, np.arange(len(ids)), end, key1, np.ascontiguousarray(ids[:, 1]), shard)).to_batches()
+
+    return written(chunks.select("chunk", "ends", "ids").mapInArrow(ask, STATE), "line-state")
+
+
+def next_questions(state: DataFrame, replies: DataFrame, depth: int, base: dict[int, int], total: int, shards: int, keep: bool) -> DataFrame:
+    """Ranks at 2^depth lines, found in the replies, and what is asked about 2^(depth + 1) lines. keep: record earlier copies."""
+
+    def step(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
+        rows: list[dict] = []
+        if own.num_rows and got.num_rows:
+            row = own.to_pylist()[0]
+            places, ends = np.frombuffer(row["places"], np.int64), np.frombuffer(row["ends"], np.int64)
+            first, number = classes(np.frombuffer(row["key1"], np.uint64), np.frombuffer(row["key2"], np.uint64))
+            rank, size, before = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+            by_place = np.argsort(places[first])
+            for r in got.to_pylist():
+                at = by_place[np.searchsorted(places[first][by_place], np.frombuffer(r["places"], np.int64))]
+                rank[at], size[at], before[at] = np.frombuffer(r["ranks"], np.int64) + base[r["shard"]], np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["before"], bool)
+            on = size[number] > 0
+            places, ends, number, later = places[on], ends[on], number[on], (before[number] | (places > places[first][number]))[on]
+            if keep and later.any():
+                rows.append({"kind": 0, "depth": depth, "chunk": row["chunk"], "places": places[later].tobytes()})
+            half = 1 << depth
+            second = np.minimum(np.searchsorted(places, places + half), len(places) - 1)
+            whole = (places[second] == places + half) & (places + half < ends)
+            key1, key2 = rank[number[whole]], rank[number[second[whole]]]
+            # a place's share of its interval's ranks, by what follows: large intervals spread over many shards
+            guess = key1 + (size[number[whole]] * (key2 / max(total, 1))).astype(np.int64)
+            shard = (guess / max(total, 1) * shards).astype(np.int64)
+            rows += questions(row["chunk"], depth + 1, places[whole], ends[whole], key1.astype(np.uint64), key2.astype(np.uint64), shard)
+        return state_rows(rows)
+
+    mine = state.where("kind = 1").select("chunk", "places", "ends", "key1", "key2")
+    return written(mine.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(step, STATE), "line-state")
+
+
+def earlier_copies(chunks: DataFrame, run_lines: int, lines_bytes: int) -> list[DataFrame]:
+    """Tables of chunk, depth, places: where 2^depth lines start that an earlier position has too, at depth 0 and from run_lines on."""
+    shards = max(8, lines_bytes // SHARD_BYTES)
+    state, out, depth = first_questions(chunks, int(shards)), [], 0
+    while True:
+        replies = written(state.where("kind = 2").groupBy("shard").applyInArrow(answer, REPLY), "line-replies")
+        totals = sorted((r["shard"], r["n"]) for r in replies.groupBy("shard").agg(F.first("total").alias("n")).collect())
+        base, total = {}, 0
+        for shard, n in totals:
+            base[shard], total = total, total + n
+        if not total:
+            discard(replies)
+            return [table.where("kind = 0").select("depth", "chunk", "places") for table in out]
+        shards = max(8, total * 32 // SHARD_BYTES)
+        keep = depth == 0 or 1 << depth >= run_lines
+        new = next_questions(state, replies, depth, base, total, int(shards), keep)
+        discard(replies)
+        if state not in out:
+            discard(state)
+        if keep:
+            out.append(new)
+        state, depth = new, depth + 1
 
 
 def removals(docs: DataFrame, run_lines: int = 4, line_words: int = 8, chunk_lines: int = 100_000) -> DataFrame:
-    """doc_id, digest (xxhash64 of the text), removed array<int>: the numbers, from 0, of the lines to delete, where there are any."""
+    """doc_id, digest (xxhash64 of the text), removed array<int>: the numbers, from 0, of the lines to delete, where there are any; gone array<boolean>: of every line."""
     lines = written(line_table(docs), "lines")
     chunks = chunk_table(lines, chunk_lines)
-    bits = int(np.clip(np.ceil(np.log2(max(input_bytes(lines), 1) / (1 << 20))), 5, 16))
-    depths = max(run_lines - 1, 0).bit_length()
-    known = docs.sparkSession.createDataFrame([], REPLY)
-    for depth in range(depths + 1):
-        known = replies_at(chunks, known, depth, bits)
-
-    def choose(key: tuple, chunk: pa.Table, replies: pa.Table) -> pa.Table:
-        own, rows = chunk_of(chunk), replies.to_pylist()
-        _, earlier = own.resolve(0, None, rows)
-        gone = earlier & (own.words >= line_words)
-        _, earlier = own.resolve(depths, own.active(depths, rows), rows)
-        at = np.flatnonzero(earlier)
-        cover = np.zeros(len(own.ids) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + (1 << depths), -1)
-        gone |= np.cumsum(cover)[:-1] > 0
-        starts = np.concatenate([[0], own.ends[:-1]])
-        some = [i for i, (a, b) in enumerate(zip(starts, own.ends, strict=True)) if gone[a:b].any()]
-        return pa.table({"doc_id": own.doc_ids[some], "digest": own.digests[some], "removed": pa.array([np.flatnonzero(gone[starts[i] : own.ends[i]]).astype(np.int32) for i in some], pa.list_(pa.int32()))})
-
-    found = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(choose, "doc_id long, digest long, removed array<int>")
-    return written(found, "line-removals")
+    found = None
+    for table in earlier_copies(chunks, run_lines, input_bytes(lines)):
+        found = table if found is None else found.union(table)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, digest long, removed array<int>, gone array<boolean>")
+
+    def choose(key: tuple, chunk: pa.Table, copies: pa.Table) -> pa.Table:
+        docs_of, digests, ends, some, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, bool)
+        if chunk.num_rows and copies.num_rows:
+            row = {c: chunk.column(c)[0].as_py() for c in ("doc_ids", "digests", "ends", "words")}
+            docs_of, digests, ends = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "digests", "ends"))
+            words = np.frombuffer(row["words"], np.uint32)
+            gone, cover = np.zeros(len(words), bool), np.zeros(len(words) + 1, np.int64)
+            for copy in copies.to_pylist():
+                at = np.frombuffer(copy["places"], np.int64)
+                if copy["depth"] == 0:
+                    gone[at] |= words[at] >= line_words
+                if 1 << copy["depth"] >= run_lines:
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + (1 << copy["depth"]), -1)
+            gone |= np.cumsum(cover)[:-1] > 0
+            starts = np.concatenate([[0], ends[:-1]])
+            some = [(i, a, b) for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if gone[a:b].any()]
+        index = [i for i, _, _ in some]
+        return pa.table({"doc_id": docs_of[index], "digest": digests[index], "removed": pa.array([np.flatnonzero(gone[a:b]).astype(np.int32) for _, a, b in some], pa.list_(pa.int32())), "gone": pa.array([gone[a:b] for _, a, b in some], pa.list_(pa.bool_()))})
+
+    chosen = chunks.drop("ids").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(choose, "doc_id long, digest long, removed array<int>, gone array<boolean>")
+    return written(chosen, "line-removals")
 
 
 def dedup_lines(docs: DataFrame, run_lines: int = 4, line_words: int = 8, removed: str = "removed_lines") -> DataFrame:
@@ -230,26 +282,17 @@ def dedup_lines(docs: DataFrame, run_lines: int = 4, line_words: int = 8, remove
     are ordered by a hash of the text, and rows with the same id and text are one document: each of them loses the
     same lines. Lines end at line feeds; the kept ones are joined by line feeds again. Rows with a null id, a null or
     an empty text are left as they are, with a null in `removed`, as is every row that loses nothing. A document may
-    end up with an empty text. An empty table gives an empty result; all other columns come back unchanged.
+    end up with an empty text. An empty table gives an empty result. All other columns come back unchanged, whatever
+    their names, but one named as `removed`, whose place that column takes.
     """
     if run_lines & (run_lines - 1) or run_lines < 1:
         raise ValueError("run_lines is a power of two")
     small_batches(docs)
-    gone = removals(docs, run_lines, line_words).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"), F.col("removed").alias(removed))
-    on = (F.col("doc_id").cast("long") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_digest"))
-    both = docs.join(gone, on, "left").select(*docs.columns, removed)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, numbers = np.flatnonzero(np.asarray(batch.column(removed).is_valid())), batch.column(removed)
-            if not len(at):
-                yield batch
-                continue
-            text = batch.column("text").to_pylist()
-            for i in at:
-                off = set(numbers[int(i)].as_py())
-                text[i] = "\n".join(x for j, x in enumerate(text[i].split("\n")) if j not in off)
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, batch.schema.field(place), pa.array(text, batch.schema.field(place).type))
-
-    return both.mapInArrow(cut, both.schema)
+    kept = [c for c in docs.columns if c.lower() != removed.lower()]
+    ident, digest, gone, numbers = fresh(kept, "gone_id"), fresh(kept, "gone_digest"), fresh(kept, "gone_lines"), fresh(kept, "gone_numbers")
+    found = removals(docs.select("doc_id", "text"), run_lines, line_words)
+    found = found.select(F.col("doc_id").alias(ident), F.col("digest").alias(digest), F.col("removed").alias(numbers), F.col("gone").alias(gone))
+    both = docs.select(*[named(c) for c in kept]).join(found, (F.col("doc_id").cast("long") == F.col(ident)) & (F.xxhash64("text") == F.col(digest)), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.get(F.col(gone), i)), "\n")
+    text = F.when(F.col(gone).isNotNull(), left).otherwise(F.col("text")).alias("text")
+    return both.select(*[text if c.lower() == "text" else named(c) for c in kept], F.col(numbers).alias(removed))

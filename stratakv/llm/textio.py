@@ -160,6 +160,20 @@ def joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(raw.tobytes(), kind)
 
 
+def by_shard(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Shard, start and end of each run of sorted keys with the same upper bits."""
+    if not len(keys):
+        return []
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+    return [(int(shard[a]), int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def shard_bits(size: int, each: int = 4 << 20) -> int:
+    """Bits that name shards of about `each` of `size` bytes of input."""
+    return max(5, (max(size, 1) // each).bit_length())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; one of our own, for tests, where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_own_folder", None)
@@ -196,9 +210,26 @@ def _removed(spark: SparkSession, path: str) -> None:
         pass
 
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of `taken` has, in whatever case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of df's input as its plan's statistics have it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of df's input as its plan's statistics have it; of its texts, measured, where they say nothing or guess at a join."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < 1 << 60 and "Join" not in plan.toString():
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()[0]["size"]
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
