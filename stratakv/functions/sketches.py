@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.functions.hashing import bloom_positions, fnv1_64, fnv1a_32, murmur64
+from stratakv.functions.hashing import bloom_positions, flat_bytes, fnv1_64_rows, fnv1a_32, murmur64
 
+#: Bytes of text read at a time.
+SLICE_BYTES = 8 << 20
 #: Our own short list; SimHash bits depend on it.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 
@@ -120,54 +125,89 @@ def hll_unpack(data: bytes) -> tuple[int, float, list[int]]:
     return bits, alpha, list(struct.unpack_from(f">{m}q", data, 24))
 
 
+def word_prints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of every row of lower-cased text, and whether the row has a word at all."""
+    blank = np.isin(raw, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True  # a word ends where its row does
+    solid = ~blank
+    before, after = np.concatenate([[False], solid[:-1]]), np.concatenate([solid[1:], [False]])
+    start, end = np.flatnonzero(solid & (~before | edge[:-1])), np.flatnonzero(solid & (~after | edge[1:])) + 1
+    size = end - start
+    short = np.zeros(len(size), np.int64)
+    for i in range(max(map(len, STOP_WORDS))):
+        there = size > i
+        short[there] |= raw[start[there] + i].astype(np.int64) << (8 * i)
+    common = np.array([int.from_bytes(w.encode(), "little") for w in STOP_WORDS])
+    kept = (size > max(map(len, STOP_WORDS))) | ~np.isin(short, common)
+    start, end = start[kept], end[kept]
+    h = fnv1_64_rows(raw, start, end)
+    negative = h >> np.uint64(63) == 1
+    magnitude = np.where(negative, np.uint64(0) - h, h)  # a negative number's magnitude is its two's complement
+    cut = np.searchsorted(start, offsets)
+    has = np.diff(cut) > 0
+    first = cut[:-1][has]
+    prints = np.zeros(len(has), np.uint64)
+    for i in range(64):
+        bit = negative if i == 0 else (magnitude >> np.uint64(63 - i)) & np.uint64(1) == 1
+        more = np.add.reduceat(np.where(bit, 1, -1), first) > 0 if len(first) else np.zeros(0, bool)
+        prints[has] |= more.astype(np.uint64) << np.uint64(63 - i)
+    return prints, has
+
+
 def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (64 signs as text): words without stop words, weighed by how often they come.
+    """doc_id, print (64 bits as a long): words without stop words, weighed by how often they come.
 
-    Bits of a word are its FNV-1 hash as a signed number: the sign, then the magnitude. A word's hash is computed once
-    for each distinct word of a document; sums stay narrow, 64 longs per group.
+    Bits of a word are its FNV-1 hash as a signed number: the sign, then the magnitude. A document is read where it lies,
+    so nothing is shuffled; one without a word has no print.
     """
-    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    counted = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("w"))
-    hashed = counted.select("doc_id", "w", fnv1_64(F.col("word")).alias("h"))
-    # a negative number's magnitude is its two's complement
-    low = F.when(F.col("h.hi") >= 1 << 31, (F.lit(4294967296) - F.col("h.lo")) % 4294967296).otherwise(F.col("h.lo"))
-    carry = F.when(F.col("h.lo") == 0, 1).otherwise(0)
-    high = F.when(F.col("h.hi") >= 1 << 31, F.lit(4294967295) - F.col("h.hi") + carry).otherwise(F.col("h.hi"))
-    signed = hashed.select("doc_id", "w", (F.col("h.hi") >= 1 << 31).alias("neg"), high.alias("hi"), low.alias("lo"))
-
-    def bit(i: int) -> Column:
-        if i == 0:
-            return F.col("neg")
-        source, shift = ("hi", 31 - i) if i < 32 else ("lo", 63 - i)
-        return F.shiftright(F.col(source), shift).bitwiseAND(F.lit(1).cast("bigint")) == 1
-
-    sums = [F.sum(F.when(bit(i), F.col("w")).otherwise(-F.col("w"))).alias(f"s{i}") for i in range(64)]
-    total = signed.groupBy("doc_id").agg(*sums)
-    return total.select("doc_id", F.concat(*[F.when(F.col(f"s{i}") > 0, "1").otherwise("0") for i in range(64)]).alias("fingerprint"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.column("text").nbytes, 1)))
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                prints, has = word_prints(*flat_bytes(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(has)), pa.array(prints[has].view(np.int64))], names=["doc_id", "print"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(read, f"doc_id {kind}, print long")
+
+
+def print_text(bits: Column) -> Column:
+    """The 64 bits as signs."""
+    return F.lpad(F.bin(bits), 64, "0")
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Places in which two fingerprints differ."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))).cast("int"))
+    """Places in which two prints differ."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def near_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
-    """Pairs of distinct fingerprints at most `most` (up to 3) bits apart: they share one of four bands of 16 bits.
+    """Pairs of distinct prints at most `most` (up to 3) bits apart.
 
-    Copies of a fingerprint count once, as its smallest doc_id, so identical documents make no pairs here: print_classes
-    has the documents that each of these ids stands for.
+    Of six blocks of bits, such a pair has three alike at least, so prints meet by every three of the six, on some 32
+    bits; a pair that shares more than three blocks is taken where the first three of them meet, and needs no distinct.
+    Copies of a print count once, as its smallest doc_id, so identical documents make no pairs here: print_classes has
+    the documents that each of these ids stands for.
     """
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    bands = one.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("bits", F.expr("substring(fingerprint, band * 16 + 1, 16)"))
-    a, b = (bands.select("band", "bits", F.col("doc_id").alias(f"{n}_id"), F.col("fingerprint").alias(f"{n}_print")) for n in ("a", "b"))
-    pairs = a.join(b, ["band", "bits"]).where("a_id < b_id").select("a_id", "b_id", hamming(F.col("a_print"), F.col("b_print")).alias("distance"))
-    return pairs.where(F.col("distance") <= most).distinct()
+    edges = [0, 11, 22, 33, 43, 53, 64]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in three) for three in combinations(range(6), 3)]
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks]
+    one = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"))
+    keyed = one.withColumn("bits", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("print").bitwiseAND(m).alias("key")) for i, m in enumerate(masks)])))
+    a, b = (keyed.select(F.col("bits.way").alias("way"), F.col("bits.key").alias("key"), F.col("doc_id").alias(f"{n}_id"), F.col("print").alias(f"{n}_print")) for n in ("a", "b"))
+    apart = F.col("a_print").bitwiseXOR(F.col("b_print"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(m) == 0, F.lit(i)) for i, m in enumerate(masks)])
+    pairs = a.join(b, ["way", "key"]).where((F.col("a_id") < F.col("b_id")) & (F.bit_count(apart) <= most) & (first == F.col("way")))
+    return pairs.select("a_id", "b_id", hamming(F.col("a_print"), F.col("b_print")).alias("distance"))
 
 
 def print_classes(prints: DataFrame) -> DataFrame:
-    """doc_id, class_id of every document: the smallest doc_id with its fingerprint, which near_pairs has for all of them."""
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    return prints.join(one, "fingerprint").select("doc_id", "class_id")
+    """doc_id, class_id of every document: the smallest doc_id with its print, which near_pairs has for all of them."""
+    one = prints.groupBy("print").agg(F.min("doc_id").alias("class_id"))
+    return prints.join(one, "print").select("doc_id", "class_id")
 
 
 def simhash_pack(doc: str, words: list[str], bits: str) -> bytes:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakv.operators.merge import live_state, lww
+from stratakv.sources.workspace import part_bounds, sorted_parts
 
 #: Last `_` parts of keys kept for sketches, and the empty one.
 RESERVED = ["bf", "hll", "cms", "sh", ""]
@@ -59,39 +58,46 @@ def page_prev(rows: DataFrame, number: int, size: int) -> DataFrame:
     return page(rows, max(number - 1, 1), size)
 
 
-def walk(rows: DataFrame, within: str = "bucket") -> DataFrame:
-    """Every key with the keys before and after it, among keys with the same `within`."""
-    order = Window.partitionBy(within).orderBy("key")
-    return rows.withColumn("prev_key", F.lag("key").over(order)).withColumn("next_key", F.lead("key").over(order))
+def walk(rows: DataFrame) -> DataFrame:
+    """Every key with the keys before and after it in the order of all keys.
+
+    Ranges of keys are sorted each in its task; only where a range ends does the next one's first key come from the ranges' bounds.
+    """
+    parts = sorted_parts(rows, "key", "walk")
+    order = Window.partitionBy("part").orderBy("place")
+    bounds = F.broadcast(part_bounds(parts, "key").drop("before"))  # one row a range
+    near = parts.withColumn("prev_key", F.lag("key").over(order)).withColumn("next_key", F.lead("key").over(order)).join(bounds, "part")
+    return near.select(*rows.columns, F.coalesce("prev_key", "key_before").alias("prev_key"), F.coalesce("next_key", "key_after").alias("next_key"))
 
 
 class Cursor:
-    """Steps through a scan a key at a time, forwards and back, by key: each step reads one row past the last key seen."""
+    """Steps through a scan a key at a time, forwards and back. A step past the keys at hand reads the next `ahead` keys at once."""
 
-    def __init__(self, rows: DataFrame, history: int = 50):
-        self.rows, self.seen, self.place = rows, deque(maxlen=history), -1
+    def __init__(self, rows: DataFrame, history: int = 50, ahead: int = 100):
+        self.rows, self.history, self.ahead = rows, history, ahead
+        self.stop()
 
     def next(self) -> str | None:
-        if self.place + 1 < len(self.seen):
-            self.place += 1
-            return self.seen[self.place]
-        rows = self.rows.where(F.col("key") > self.seen[-1]) if self.seen else self.rows
-        found = rows.orderBy("key").select("key").head(1)
-        if not found:
+        if self.place + 1 == len(self.keys) and not self.ended:
+            rows = self.rows.where(F.col("key") > self.keys[-1]) if self.keys else self.rows
+            found = [r["key"] for r in rows.orderBy("key").select("key").head(self.ahead)]
+            self.ended = len(found) < self.ahead
+            self.keys += found
+        if self.place + 1 == len(self.keys):
             return None
-        self.seen.append(found[0]["key"])
-        self.place = len(self.seen) - 1
-        return self.seen[-1]
+        self.place += 1
+        gone = max(self.place - self.history + 1, 0)  # steps back go no further than the history
+        self.keys, self.place = self.keys[gone:], self.place - gone
+        return self.keys[self.place]
 
     def prev(self) -> str | None:
         if self.place <= 0:
             return None
         self.place -= 1
-        return self.seen[self.place]
+        return self.keys[self.place]
 
     def stop(self) -> None:
-        self.seen.clear()
-        self.place = -1
+        self.keys, self.place, self.ended = [], -1, False
 
 
 def min_key_sources(log: DataFrame, source: str) -> DataFrame:

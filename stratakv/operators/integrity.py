@@ -42,21 +42,23 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("run_id").agg(F.sum("hash").alias("root"), n.alias("n_leaves"), height.cast("int").alias("height"))
 
 
+def _leaf_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    a = old.select("run_id", "idx", F.col("hash").alias("old_hash"))
+    b = new.select("run_id", "idx", F.col("hash").alias("new_hash"))
+    return a.join(b, ["run_id", "idx"], "full_outer")
+
+
 def merkle_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Leaves whose hashes differ. Runs with one root are left out before leaves are compared; a leaf on one side only differs."""
-    roots = merkle_root(old).select("run_id", "root", "n_leaves").join(merkle_root(new).select("run_id", F.col("root").alias("r2"), F.col("n_leaves").alias("n2")), "run_id", "full_outer")
-    changed = roots.where(~F.col("root").eqNullSafe(F.col("r2")) | ~F.col("n_leaves").eqNullSafe(F.col("n2"))).select("run_id")
-    a = old.join(changed, "run_id", "left_semi").select("run_id", "idx", F.col("hash").alias("old_hash"))
-    b = new.join(changed, "run_id", "left_semi").select("run_id", "idx", F.col("hash").alias("new_hash"))
-    return a.join(b, ["run_id", "idx"], "full_outer").where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+    """Leaves whose hashes differ; a leaf on one side only differs."""
+    return _leaf_pairs(old, new).where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
 
 
 def validate(old: DataFrame, new: DataFrame) -> DataFrame:
-    """run_id, status: same, changed, or another shape; and how many leaves changed."""
-    n = merkle_diff(old, new).groupBy("run_id").agg(F.count("*").alias("n_changed"))
-    shape = merkle_root(old).select("run_id", "n_leaves").join(merkle_root(new).select("run_id", F.col("n_leaves").alias("n2")), "run_id", "full_outer")
-    status = F.when(~F.col("n_leaves").eqNullSafe(F.col("n2")), "shape").when(F.col("n_changed") > 0, "changed").otherwise("same")
-    return shape.join(n, "run_id", "left").select("run_id", status.alias("status"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    """run_id, status: same, changed, or another shape; and how many leaves changed. One pass over the pairs of leaves."""
+    n = F.count(F.when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), 1))
+    sides = _leaf_pairs(old, new).groupBy("run_id").agg(n.alias("n_changed"), F.count("old_hash").alias("n_old"), F.count("new_hash").alias("n_new"))
+    status = F.when(F.col("n_old") != F.col("n_new"), "shape").when(F.col("n_changed") > 0, "changed").otherwise("same")
+    return sides.select("run_id", status.alias("status"), "n_changed")
 
 
 def merkle_pack(nodes: list[int]) -> bytes:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakv.operators.merge import newest_first
+from stratakv.sources.workspace import part_bounds, sorted_parts
 
 
 def record_size(value_bytes: Column | None = None) -> Column:
@@ -103,9 +104,12 @@ def offset_bounds(runs: DataFrame) -> DataFrame:
 
 
 def dict_encode(log: DataFrame) -> DataFrame:
-    """Number of every distinct key, in order. Ranges of keys are counted first, so no task sorts all of them."""
-    keys = log.select("key").distinct().withColumn("bucket", F.substring("key", 1, 5))
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("bucket", before.alias("before"))
-    return keys.join(starts, "bucket").select("key", (F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("key"))).alias("key_id"))
+    """Number of every distinct key, in order, from 1. Ranges of keys are sorted each in its task, and their sizes give the offsets."""
+    parts = sorted_parts(log.select("key").distinct(), "key", "dictionary")
+    starts = F.broadcast(part_bounds(parts, "key").select("part", "before"))  # one row a range
+    return parts.join(starts, "part").select("key", (F.col("before") + F.col("place") + 1).alias("key_id"))
+
+
+def dict_decode(coded: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """coded with the keys that its key_id stands for."""
+    return coded.join(dictionary, "key_id").drop("key_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratakv.functions import hashing, sketches
 from stratakv.operators import access, integrity, merge, ratelimit, runs
 from stratakv.schema import kv_log
-from stratakv.sources import wal
+from stratakv.sources import store, wal, workspace
 
 CAP = 500  # records of a run
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,7 +189,7 @@ def range_iterate(spark, d):
     return access.between(kv_log(spark, d), "u000020/0", "u000020/9").select("key", "seq")
 
 
-@query(with_(KV, LWW, LIVE) + "SELECT bucket, key, lag(key) OVER (PARTITION BY bucket ORDER BY key) AS prev_key, lead(key) OVER (PARTITION BY bucket ORDER BY key) AS next_key FROM (SELECT split_part(key, '/', 1) AS bucket, key FROM live)")
+@query(with_(KV, LWW, LIVE) + "SELECT bucket, key, lag(key) OVER (ORDER BY key) AS prev_key, lead(key) OVER (ORDER BY key) AS next_key FROM (SELECT split_part(key, '/', 1) AS bucket, key FROM live)")
 def iter_walk(spark, d):
     rows = merge.live_state(kv_log(spark, d)).select(F.substring_index("key", "/", 1).alias("bucket"), "key")
     return access.walk(rows)
@@ -243,9 +243,10 @@ def run_stats(spark, d):
     return runs.run_stats(_runs(spark, d))
 
 
-@query(with_(KV, RUNS, STATS) + "SELECT run_id, CAST(row_number() OVER (PARTITION BY level ORDER BY run_id) AS INT) AS new_run FROM stats WHERE run_id % 3 <> 1")
+@query(with_(KV, RUNS, STATS) + "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id % 3 ORDER BY run_id) AS INT) AS new_run FROM stats")
 def renumber_runs(spark, d):
-    return runs.renumber(runs.run_stats(_runs(spark, d)).where("run_id % 3 <> 1")).select("run_id", "new_run")
+    """Runs dealt over three levels, whose numbers have gaps then, numbered again within each."""
+    return runs.renumber(runs.run_stats(_runs(spark, d)).withColumn("level", F.col("run_id") % 3)).select("run_id", "new_run")
 
 
 @query(with_(KV, RUNS, STATS) + "SELECT least(CAST(run_id % 5 AS INT), 3) AS level, count(*) + 1 AS next_run FROM stats GROUP BY 1")
@@ -254,23 +255,9 @@ def next_run_slot(spark, d):
     return runs.next_slot(stats, 4)
 
 
-NARROW = "narrow AS (SELECT seq // 50 AS run_id, min(key) AS min_key, max(key) AS max_key FROM kv WHERE seq % 50 < 3 GROUP BY 1)"
-
-
-def _narrow(spark, d):
-    some = kv_log(spark, d).where("seq % 50 < 3").withColumn("run_id", F.floor(F.col("seq") / 50))
-    return some.groupBy("run_id").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
-
-
-@query(with_(KV, NARROW) + "SELECT a.run_id AS upper_run, b.run_id AS lower_run FROM narrow a JOIN narrow b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1")
-def overlap_runs(spark, d):
-    narrow = _narrow(spark, d)
-    return runs.overlaps(narrow.where("run_id % 2 = 0"), narrow.where("run_id % 2 = 1")).select("upper_run", "lower_run")
-
-
 @query(with_(KV, RUNS, STATS) + "SELECT a.run_id AS upper_run, b.run_id AS lower_run FROM stats a JOIN stats b ON a.min_key <= b.max_key AND a.max_key >= b.min_key WHERE a.run_id % 2 = 0 AND b.run_id % 2 = 1")
-def overlap_flushed_runs(spark, d):
-    """Even and odd runs of the whole flushed log whose key ranges meet; overlap_runs has those of three records a run."""
+def overlap_runs(spark, d):
+    """Even and odd runs of the whole flushed log, as an upper and a lower level, whose key ranges meet."""
     stats = runs.run_stats(_runs(spark, d))
     return runs.overlaps(stats.where("run_id % 2 = 0"), stats.where("run_id % 2 = 1")).select("upper_run", "lower_run")
 
@@ -330,6 +317,14 @@ def dict_encode(spark, d):
     return runs.dict_encode(kv_log(spark, d))
 
 
+@query(with_(KV) + "SELECT seq, key FROM kv")
+def dict_decode(spark, d):
+    """Keys as numbers of the dictionary, and back."""
+    log = kv_log(spark, d).select("seq", "key")
+    dictionary = runs.dict_encode(log)
+    return runs.dict_decode(log.join(dictionary, "key").select("seq", "key_id"), dictionary)
+
+
 @query(with_(KV) + ", s AS (SELECT seq, 37 + strlen(key) + CASE WHEN value IS NULL THEN 0 ELSE 8 END AS wal_bytes FROM kv) SELECT seq, wal_bytes, CAST(coalesce(sum(wal_bytes) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 20000 AS segment FROM s")
 def wal_segments(spark, d):
     return wal.segments(kv_log(spark, d), 20000)
@@ -340,6 +335,50 @@ def wal_tail(spark, d):
     return wal.tail(kv_log(spark, d), 700).select("key", "seq")
 
 
+def _store(spark, d) -> store.RunStore:
+    """The log flushed in five runs, four of which are compacted into one of the next level; their files are gone."""
+    log, own = kv_log(spark, d), store.RunStore(spark, workspace.new_folder(spark, "store"), tables=4)
+    last = log.agg(F.max("seq").alias("seq")).collect()[0]["seq"] or 0
+    step = last // 5 + 1
+    for i in range(5):
+        own.flush(log.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)))
+        if i == 3:
+            own.compact(0)
+    return own
+
+
+@query(with_(KV, LWW, LIVE, WANTED) + "SELECT key, value, seq FROM live WHERE key IN (SELECT key FROM wanted)")
+def store_multi_get(spark, d):
+    """Read from written runs after a compaction, not from the log."""
+    return _store(spark, d).multi_get(_wanted(spark, d)).select("key", "value", "seq")
+
+
+@query(with_(KV, LWW, LIVE) + "SELECT key, value, seq FROM live WHERE key BETWEEN 'u000010' AND 'u000050/5'")
+def store_range(spark, d):
+    return merge.live_state(_store(spark, d).within("u000010", "u000050/5")).select("key", "value", "seq")
+
+
+@query(with_(KV) + f", n AS (SELECT level, run_id, count(*) AS n_records, min(key) AS min_key, max(key) AS max_key FROM (SELECT DISTINCT CASE WHEN seq // step < 4 THEN 1 ELSE 0 END AS level, CASE WHEN seq // step < 4 THEN 5 ELSE 6 END AS run_id, key FROM kv, (SELECT max(seq) // 5 + 1 AS step FROM kv)) GROUP BY ALL) SELECT CAST(level AS INT) AS level, CAST(run_id AS BIGINT) AS run_id, n_records, min_key, max_key FROM n")
+def store_manifest(spark, d):
+    """The runs left after a compaction of four into one and one more flush."""
+    runs_left = [(r["level"], r["run_id"], r["n_records"], r["min_key"], r["max_key"]) for r in _store(spark, d).runs()]
+    return spark.createDataFrame(runs_left, "level int, run_id long, n_records long, min_key string, max_key string")
+
+
+@query(
+    with_(KV)
+    + """, s AS (SELECT key, seq, CAST(coalesce(sum(37 + strlen(key) + CASE WHEN value IS NULL THEN 0 ELSE 8 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 20000 AS old FROM kv),
+ kept AS (SELECT *, max(seq) OVER (PARTITION BY old) AS last FROM s) SELECT key, seq, CAST(dense_rank() OVER (ORDER BY old) - 1 AS INT) AS segment FROM kept WHERE last > 700"""
+)
+def wal_truncate(spark, d):
+    """The written log once the segments that hold nothing above record 700 are deleted and the others numbered again."""
+    path = workspace.new_folder(spark, "wal")
+    wal.append_segments(kv_log(spark, d), path, 20000)
+    wal.truncate(spark, path, 700)
+    good, _ = wal.read(spark, path)
+    return good.select("key", "seq", "segment")
+
+
 @query(with_(KV, LWW, LIVE) + "SELECT count(*) AS n_live, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM live")
 def recover_equals_state(spark, d):
     """Replaying flushed runs and the log's tail gives the state that the whole log gives."""
@@ -407,17 +446,52 @@ def bloom_params(spark, d):
     return sketches.bloom_create(parts, F.col("p_partkey"), F.lit(0.01))
 
 
-@query(with_(KV) + "SELECT key, true AS maybe FROM (SELECT DISTINCT key FROM kv WHERE seq % 2 = 0)")
+def _turned(x: str, r: int, bits: int = 32, kind: str = "UBIGINT") -> str:
+    return f"((({x} % {1 << (bits - r)}::{kind}) * {1 << r}::{kind}) + ({x} // {1 << (bits - r)}::{kind}))"
+
+
+def _number(first: int, n: int, kind: str) -> str:
+    """n bytes of the list b from place `first` on, the lowest first."""
+    return "(" + " + ".join(f"b[{first + i}]::{kind} * {1 << 8 * i}::{kind}" for i in range(n)) + ")"
+
+
+#: Murmur3 of keys of nine bytes, which all keys of the log have: two numbers of four bytes and one byte, or of eight bytes and one.
+M32, M64, W = "4294967296::UBIGINT", "18446744073709551616::UHUGEINT", "UHUGEINT"
+PUT32 = lambda k: f"({_turned(f'({k} * 3432918353::UBIGINT % {M32})', 15)} * 461845907::UBIGINT % {M32})"
+MURMUR32 = f"""m0 AS (SELECT key, i, xor(i::UBIGINT, {PUT32(_number(1, 4, "UBIGINT"))}) AS h, b FROM (SELECT key, {BYTES.format("key")} AS b FROM keys), (SELECT unnest(range(0, (SELECT hashes FROM size))) AS i)),
+ m1 AS (SELECT key, i, b, xor(({_turned("h", 13)} * 5 + 3864292196::UBIGINT) % {M32}, {PUT32(_number(5, 4, "UBIGINT"))}) AS h FROM m0),
+ m2 AS (SELECT key, i, xor(xor(({_turned("h", 13)} * 5 + 3864292196::UBIGINT) % {M32}, {PUT32("b[9]::UBIGINT")}), 9::UBIGINT) AS h FROM m1),
+ m3 AS (SELECT key, i, xor(h, h // 65536) * 2246822507::UBIGINT % {M32} AS h FROM m2), m4 AS (SELECT key, i, xor(h, h // 8192) * 3266489909::UBIGINT % {M32} AS h FROM m3),
+ places AS (SELECT key, CAST(xor(h, h // 65536) % (SELECT bits FROM size) AS BIGINT) AS pos FROM m4)"""
+BLOOM_SIZE = "size AS (SELECT bits, CAST(round((bits // n) * ln(2)) AS INT) AS hashes FROM (SELECT n, CAST(floor(-n * ln(0.01) / (ln(2) * ln(2))) AS UBIGINT) AS bits FROM (SELECT greatest(count(*), 1) AS n FROM members)))"
+ALL_KEYS = "keys AS (SELECT DISTINCT key FROM kv)"
+MIX64 = lambda x: f"xor({x}, {x} // 8589934592::{W})"
+MURMUR64 = f"""n0 AS (SELECT key, xor({_turned(f"({_number(1, 8, W)} * 9782798678568883157::{W} % {M64})", 31, 64, W)} * 5545529020109919103::{W} % {M64}, 9::{W}) AS a, xor({_turned(f"(b[9]::{W} * 5545529020109919103::{W} % {M64})", 33, 64, W)} * 9782798678568883157::{W} % {M64}, 9::{W}) AS b FROM (SELECT key, {BYTES.format("key")} AS b FROM keys)),
+ n1 AS (SELECT key, (a + b) % {M64} AS a, (a + b + b) % {M64} AS b FROM n0), n2 AS (SELECT key, {MIX64("a")} * 18397679294719823053::{W} % {M64} AS a, {MIX64("b")} * 18397679294719823053::{W} % {M64} AS b FROM n1),
+ n3 AS (SELECT key, {MIX64("a")} * 14181476777654086739::{W} % {M64} AS a, {MIX64("b")} * 14181476777654086739::{W} % {M64} AS b FROM n2), hashed AS (SELECT key, ({MIX64("a")} + {MIX64("b")}) % {M64} AS h FROM n3)"""
+
+
+def registers_sql(bits: int) -> str:
+    zeros = f"coalesce(list_position(list_transform(range(0, 63), lambda i: (h // pow(2, i)::{W}) % 2 = 1), true) - 1, 63)"
+    return f"registers AS (SELECT CAST(h // {1 << (64 - bits)}::{W} AS BIGINT) AS reg, CAST(max({zeros} + 1) AS INT) AS rank FROM hashed GROUP BY 1)"
+
+
+def _members(spark, d) -> DataFrame:
+    return merge.live_state(kv_log(spark, d)).select("key")
+
+
+@query(with_(KV, LWW, LIVE, "members AS (SELECT key FROM live)", ALL_KEYS, BLOOM_SIZE, MURMUR32) + "SELECT key, bool_and(pos IN (SELECT pos FROM places WHERE key IN (SELECT key FROM members))) AS maybe FROM places GROUP BY key")
 def bloom_membership(spark, d):
-    """Members of the filter are never denied."""
-    members = kv_log(spark, d).where("seq % 2 = 0").select("key").distinct()
-    positions = sketches.bloom_add(members, 4000, 0.01)
-    return sketches.bloom_contains(members, positions, 4000, 0.01)
+    """Every key that was ever written, asked of a filter over the live ones."""
+    members = _members(spark, d)
+    n = max(members.count(), 1)
+    return sketches.bloom_contains(kv_log(spark, d).select("key").distinct(), sketches.bloom_add(members, n, 0.01), n, 0.01)
 
 
-@query()
+@query(with_(KV, ALL_KEYS, "members AS (SELECT key FROM keys)", BLOOM_SIZE, MURMUR32) + "SELECT DISTINCT pos FROM places")
 def bloom_bits(spark, d):
-    return sketches.bloom_add(kv_log(spark, d).select("key").distinct(), 4000, 0.01)
+    keys = kv_log(spark, d).select("key").distinct()
+    return sketches.bloom_add(keys, max(keys.count(), 1), 0.01)
 
 
 WIDTH, ROWS = 200, 4
@@ -454,19 +528,17 @@ def hll_params(spark, d):
     return sketches.hll_create(spark.read.parquet(f"{d}/part.parquet").where("p_partkey > 0").select("p_partkey"), F.col("p_partkey"))
 
 
-@query()
+@query(with_(KV, ALL_KEYS, MURMUR64, registers_sql(10)) + "SELECT reg, rank FROM registers")
 def hll_registers(spark, d):
     return sketches.hll_add(kv_log(spark, d).select("key"), 1000)
 
 
-@query(with_(KV) + "SELECT count(DISTINCT key) AS n_exact, true AS within FROM kv")
+@query(with_(KV, ALL_KEYS, MURMUR64, registers_sql(7)) + "SELECT (SELECT count(*) FROM keys) AS n_exact, CAST(floor(0.7213::DOUBLE / (1::DOUBLE + 1.079::DOUBLE / 128) * 128 * 128 / (coalesce(sum(pow(2::DOUBLE, -rank)), 0) + 128 - count(*))) AS BIGINT) AS estimate FROM registers")
 def hll_estimate(spark, d):
-    """Exact count, and whether the raw estimate (within a factor of two) and Spark's own (within a fifth) are near it."""
+    """Exact count, and the raw estimate from 128 registers."""
     keys = kv_log(spark, d).select("key")
     got = sketches.hll_count(sketches.hll_add(keys, 64), 64)
-    exact = keys.agg(F.count_distinct("key").alias("n_exact"), F.approx_count_distinct("key").alias("native"))
-    near = (F.col("estimate") > 0.5 * F.col("n_exact")) & (F.col("estimate") < 2 * F.col("n_exact")) & (F.abs(F.col("native") - F.col("n_exact")) <= 0.2 * F.col("n_exact"))
-    return exact.join(F.broadcast(got)).select("n_exact", near.alias("within"))
+    return keys.agg(F.count_distinct("key").alias("n_exact")).join(F.broadcast(got)).select("n_exact", "estimate")
 
 
 @query(with_(KV) + "SELECT count(DISTINCT key) AS n FROM kv")
@@ -491,13 +563,13 @@ def _prints(spark, d):
 
 @query(with_(SIMHASH) + "SELECT doc_id, fingerprint FROM prints")
 def simhash_docs(spark, d):
-    return _prints(spark, d)
+    return _prints(spark, d).select("doc_id", sketches.print_text(F.col("print")).alias("fingerprint"))
 
 
 @query(with_(SIMHASH) + f"SELECT a.doc_id AS a_id, b.doc_id AS b_id, CAST({DISTANCE} AS INT) AS distance FROM prints a JOIN prints b ON b.doc_id = a.doc_id + 1")
 def hamming_pairs(spark, d):
     prints = _prints(spark, d)
-    a, b = prints.select(F.col("doc_id").alias("a_id"), F.col("fingerprint").alias("x")), prints.select(F.col("doc_id").alias("b_id"), F.col("fingerprint").alias("y"))
+    a, b = prints.select(F.col("doc_id").alias("a_id"), F.col("print").alias("x")), prints.select(F.col("doc_id").alias("b_id"), F.col("print").alias("y"))
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", sketches.hamming(F.col("x"), F.col("y")).alias("distance"))
 
 

@@ -32,7 +32,8 @@ def token_bucket_stream(requests: DataFrame, by: str, rate: int, most: int, cost
     """by, ts, allowed of a stream of requests; each key keeps its tokens and the time it last gained any."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches))
+        rows = rows.sort_values([c for c in ("ts", "event_id") if c in rows.columns])
         tokens, last = state.get if state.exists else (most, int(rows["ts"].iloc[0].value // 1_000_000_000))
         allowed = []
         for ts in rows["ts"]:
