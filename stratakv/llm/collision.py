@@ -3,25 +3,41 @@
 Unit vectors are projected on `lines` random directions. A block of data vectors keeps the projections on each line in
 sorted order. A query's window on a line is centred on its own projection and widens round by round (virtual
 rehashing: a window of the next round is a coarser bucket of the same array). A vector whose projections fall into the
-query's windows on `threshold` lines or more is verified by its exact cosine. A block's search ends once k verified
-vectors lie within the distance that the round's width stands for, or when enough of the block has been verified.
+query's windows on enough lines is verified by its exact cosine. A round stands for a radius: the projections of two
+vectors that far apart differ by a normal deviate of that size, so the share of lines on which they meet is known, and
+the threshold lies `sure` standard deviations below it. A block's search ends when k verified vectors lie within the
+round's radius: each nearer vector has then been verified with the probability that `sure` stands for. Nothing else
+ends it, so neither the number nor the share of verified vectors is limited.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.knnjoin import best_of, finite, matrix, together
-from stratakv.llm.textio import written
+from stratakv.llm.knnjoin import best_of, finite, matrix, numbered, packed_groups, per_unit
 
-#: Data vectors in a block, queries in a group, tasks that share a block, and vectors verified at least before a search ends unsatisfied.
-BLOCK, GROUP, SALTS, LEAST = 65_536, 128, 6, 400
+#: Bytes of vectors in a block, queries in a group, queries that search a block in one task, and tasks that share a block at least.
+BLOCK_BYTES, GROUP, QUERIES, SALTS = 16 << 20, 128, 32_768, 6
+
+
+def radii(first: float = 0.05, coarse: float = 2.5, turn: float = 0.7, fine: float = 1.1) -> np.ndarray:
+    """Radii of the rounds, from near copies up to opposite vectors: steps are coarse where windows hold little anyway."""
+    out = [first]
+    while out[-1] < 2:
+        out.append(out[-1] * fine if out[-1] >= turn else min(out[-1] * coarse, turn))
+    return np.array(out)
+
+
+def threshold(lines: int, reach: float, sure: float) -> int:
+    """Collisions that vectors within a round's radius have but for `sure` standard deviations."""
+    share = math.erf(reach / math.sqrt(2))
+    return max(1, math.floor(lines * share - sure * math.sqrt(lines * share * (1 - share))))
 
 
 class SortedProjections:
@@ -29,103 +45,102 @@ class SortedProjections:
 
     def __init__(self, unit: np.ndarray, directions: np.ndarray):
         self.unit = unit
-        projected = (directions @ unit.T).astype(np.float32)  # a line's values lie side by side
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
-
-    def candidates(self, query: np.ndarray, at: np.ndarray, k: int, threshold: int, widths: np.ndarray, share: float) -> np.ndarray:
-        """Positions of the verified vectors. at: the query's projections; widths: half the windows' widths, round by round."""
+        self.order = np.empty((len(directions), len(unit)), np.intp)
+        self.sorted = np.empty((len(directions), len(unit)), np.float32)
+        for j, line in enumerate(directions):
+            along = (unit @ line).astype(np.float32)
+            self.order[j] = np.argsort(along, kind="stable")
+            self.sorted[j] = along[self.order[j]]
+
+    def candidates(self, query: np.ndarray, at: np.ndarray, need: int, least: int, rounds: np.ndarray, reach: float) -> np.ndarray:
+        """Positions of the verified vectors. at: the query's projections; need: vectors to find within a round's radius."""
         lines, n = self.sorted.shape
-        hits, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
+        if n <= need:
+            return np.arange(n)
+        widths = rounds * reach
+        hits, checked, best = np.zeros(n, np.uint16), np.zeros(n, bool), np.empty(0)
         low = np.array([np.searchsorted(self.sorted[j], (at[j] - widths).astype(np.float32), "left") for j in range(lines)])
         high = np.array([np.searchsorted(self.sorted[j], (at[j] + widths).astype(np.float32), "right") for j in range(lines)])
-        found, best = 0, np.empty(0)
-        for r, width in enumerate(widths):
+        was_low, was_high = low[:, 0], low[:, 0]
+        for r, radius in enumerate(rounds):
             for j in range(lines):
-                if r:
-                    hits[self.order[j, low[j, r] : low[j, r - 1]]] += 1
-                    hits[self.order[j, high[j, r - 1] : high[j, r]]] += 1
-                else:
-                    hits[self.order[j, low[j, 0] : high[j, 0]]] += 1
-            new = np.flatnonzero((hits >= threshold) & ~checked)
+                if low[j, r] < was_low[j]:
+                    hits[self.order[j, low[j, r] : was_low[j]]] += 1
+                if was_high[j] < high[j, r]:
+                    hits[self.order[j, was_high[j] : high[j, r]]] += 1
+            was_low, was_high = low[:, r], high[:, r]
+            new = np.flatnonzero((hits >= least) & ~checked)
             checked[new] = True
-            found += len(new)
-            best = np.sort(np.concatenate([best, 2 - 2 * (self.unit[new] @ query)]))[: k + 1]
-            spread = width * np.sqrt(len(query))  # a vector this far away has projections about `width` apart
-            if len(best) > k and (best[k] <= (0.5 * spread) ** 2 or found >= max(share * n, LEAST)):
-                break
-        return np.flatnonzero(checked) if found > k else np.arange(n)
+            best = np.sort(np.concatenate([best, 2 - 2 * (self.unit[new] @ query)]))[:need]
+            if len(best) == need and best[-1] <= radius**2:
+                return np.flatnonzero(checked)
+        return np.arange(n)
 
 
-def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 5, lines: int = 40, threshold: float = 0.7, first: float = 0.05, growth: float = 1.35, share: float = 0.2, seed: int = 29
-) -> DataFrame:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay what they are."""
+    _, exponent = np.frexp(np.abs(x).max(1, initial=0.0))
+    return np.ldexp(x, -exponent[:, None])
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, lines: int = 192, reach: float = 1.0, sure: float = 1.3, seed: int = 29) -> DataFrame:
     """query_id, rank, vec_id, score: for each query k near rows by cosine, the query's own row left out.
 
-    Every row is indexed, in blocks; every block is searched for every query, queries in groups, so no list of
-    candidates is cut: all vectors over the collision threshold are verified on the original components in double
-    precision. Ties go to the smaller vec_id; rows with the same vec_id are one vector. Vectors that are null, zero, or
-    hold a null or non-finite component, or have another length than most, take no part. Copies of one vector count
-    once in a block's search and come back together, so a vector that fills a third of the table costs no more than
-    any other.
+    Every row is indexed, in blocks; every block is searched for every query, so no list of candidates is cut: all
+    vectors over the collision threshold are verified on the original components in double precision. Ties go to the
+    smaller vec_id. Rows are told apart by themselves, not by vec_id: rows that share one are queries and candidates
+    each. Vectors of unequal lengths compare as if the shorter ended in zeros. Vectors that are null, empty, zero, or hold a
+    null or non-finite component take no part, nor do rows without an id. Copies of one vector count once in a block's
+    search and come back together, so a vector that fills a third of the table costs no more than any other. Other
+    columns, of whatever names, are not read. No rows or no queries: no result.
     """
     good = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    doubles = F.transform("embedding", lambda x: x.cast("double"))
-    base = good.select("vec_id", doubles.alias("vector"), is_query.alias("query"), F.size("embedding").alias("dim"))
-    base = base.groupBy("vec_id").agg(F.min_by(F.struct("vector", "query", "dim"), F.xxhash64("vector")).alias("x")).select("vec_id", "x.*")
-    base = written(base, "ann-vectors")
-    stats = base.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("queries")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not stats or not stats[0]["queries"]:
+    base, stats = numbered(good, is_query, "ann-vectors")
+    if not stats["queries"]:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, parts = stats[0]["dim"], -(-stats[0]["n"] // BLOCK)
-    base = base.where(F.col("dim") == dim)
+    dim, kind = stats["dim"], stats["kind"]
+    parts = -(-stats["n"] * dim * 8 // BLOCK_BYTES)
+    salts = max(min(SALTS, -(-stats["queries"] // GROUP)), -(-stats["queries"] // QUERIES))
     directions = np.random.default_rng(seed).normal(size=(lines, dim))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
-    least = int(np.ceil(threshold * lines))
-    widths = first * growth ** np.arange(int(np.ceil(np.log(2.1 / first) / np.log(growth))) + 1)
-    salts = int(np.clip(stats[0]["queries"] // GROUP, 1, SALTS))
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = TaskContext.get().partitionId() << 32
-        for batch in together(batches, GROUP):
-            for low in range(0, batch.num_rows, GROUP):
-                part = batch.slice(low, GROUP)
-                yield pa.RecordBatch.from_pydict({"group_id": [serial], "ids": [np.asarray(part.column("vec_id")).tobytes()], "vectors": [matrix(part.column("vector")).tobytes()]})
-                serial += 1
-
-    def search(key: tuple, asked: pa.Table, there: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [np.zeros(0, np.int64)], "vec_id": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
-        if there.num_rows and asked.num_rows:
-            ids, x = np.asarray(there.column("vec_id").combine_chunks()), matrix(there.column("vector").combine_chunks())
-            distinct, of = np.unique(x, axis=0, return_inverse=True)
-            of = of.reshape(-1)
-            by_copy = np.lexsort((ids, of))
-            starts = np.searchsorted(of[by_copy], np.arange(len(distinct) + 1))
-            norm = np.sqrt((distinct**2).sum(1))
-            index = SortedProjections(distinct / norm[:, None], directions)
-            for row in asked.select(["ids", "vectors"]).to_pylist():
-                for own, q in zip(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, dim), strict=True):
-                    size = np.sqrt((q**2).sum())
-                    near = index.candidates(q / size, directions @ (q / size), k, least, widths, share)
-                    exact = (distinct[near] * q).sum(1) / (norm[near] * size)
-                    if len(near) > 4 * k + 4:
-                        top = np.sort(np.partition(-exact, k)[: k + 1])[-1]
-                        on = -exact <= top
-                        near, exact = near[on], exact[on]
-                    lists = [by_copy[starts[i] : min(starts[i + 1], starts[i] + k + 1)] for i in near]
-                    rows = np.concatenate(lists)
-                    score = np.repeat(exact, [len(a) for a in lists])
-                    other = ids[rows] != own
-                    rows, score = rows[other], score[other]
-                    pick = np.lexsort((ids[rows], -score))[:k]
-                    out["query_id"].append(np.full(len(pick), own))
-                    out["vec_id"].append(ids[rows[pick]])
-                    out["score"].append(score[pick])
-        return pa.table({c: np.concatenate(v) for c, v in out.items()})
-
-    queries = base.where("query").select("vec_id", "vector").mapInArrow(group, "group_id long, ids binary, vectors binary")
-    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(salts)).cast("int"))
-    there = base.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+    least, rounds = threshold(lines, reach, sure), radii()
+
+    def search(asked: pa.Table, there: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows_of, ids = np.asarray(there.column("row_id").combine_chunks()), np.asarray(there.column("vec_id").combine_chunks())
+        distinct, of = np.unique(matrix(there.column("vector").combine_chunks(), kind, dim).astype(np.float64), axis=0, return_inverse=True)
+        of, distinct = of.reshape(-1), scaled(distinct)
+        by_copy = np.lexsort((ids, of))
+        starts = np.searchsorted(of[by_copy], np.arange(len(distinct) + 1))
+        norm = np.sqrt((distinct**2).sum(1))
+        index = SortedProjections(distinct / norm[:, None], directions)
+        here = np.sort(rows_of)
+        for row in asked.to_pylist():
+            found: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
+            asking = zip(np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64), scaled(np.frombuffer(row["vectors"], kind).reshape(-1, dim).astype(np.float64)), strict=True)
+            for own, ident, q in asking:
+                size = np.sqrt((q**2).sum())
+                is_here = here[min(np.searchsorted(here, own), len(here) - 1)] == own
+                near = index.candidates(q / size, directions @ (q / size), k + int(is_here), least, rounds, reach)
+                exact = (distinct[near] * q).sum(1) / (norm[near] * size)
+                if len(near) > 4 * k + 4:
+                    on = -exact <= np.partition(-exact, k)[k]
+                    near, exact = near[on], exact[on]
+                lists = [by_copy[starts[i] : min(starts[i + 1], starts[i] + k + 1)] for i in near]
+                if len(lists) == 0:
+                    continue
+                rows, score = np.concatenate(lists), np.repeat(exact, [len(a) for a in lists])
+                other = rows_of[rows] != own
+                rows, score = rows[other], score[other]
+                pick = np.lexsort((ids[rows], -score))[:k]
+                for name, values in (("query_row", np.full(len(pick), own)), ("query_id", np.full(len(pick), ident)), ("vec_id", ids[rows[pick]]), ("score", score[pick])):
+                    found[name].append(values)
+            if found["score"]:
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in found.items()})
+
+    asked = packed_groups(base.where("query"), GROUP, kind, dim).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(salts)).cast("int"))
+    there = base.select("row_id", "vec_id", "vector", F.pmod(F.xxhash64("row_id"), F.lit(parts)).cast("int").alias("part"))
     there = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = asked.groupBy("part", "salt").cogroup(there.groupBy("part", "salt")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = per_unit(asked, there, ["part", "salt"], search, "query_row long, query_id long, vec_id long, score double")
     return best_of(found, k, F.desc("score"))
+
+

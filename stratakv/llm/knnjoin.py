@@ -2,26 +2,28 @@
 
 Scores are integer inner products. Adding one coordinate sqrt(M^2 - |x|^2) to every data vector, M the largest norm,
 and a zero to every query makes |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the largest products are the nearest vectors and
-the triangle inequality holds. Pivots cut the space into cells. Data vectors lie in blocks of one cell each, queries in
-groups of one cell each, and from the blocks' summaries (size, nearest and farthest distance to the pivot) every query
-group gets an upper bound on the distance of its k-th neighbours. A data vector goes only to the groups for which its
-distance to its own pivot does not rule it out; each (group, block) pair is solved on its own and the lists are merged.
+the triangle inequality holds. Pivots cut the space into cells. From the cells' summaries (size, farthest distance to
+the pivot) every query group, whose members lie in one cell, gets an upper bound on the distance of its k-th
+neighbours, and goes only to the cells that may hold a vector as near. A cell's vectors are dealt over units of bounded
+size, and every unit reads its vectors once, however many groups come to it; within it, a group reads only those whose
+distance to the pivot does not rule them out. The lists of all units are merged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratakv.llm.textio import written
 
-#: Data vectors in a block, queries in a group, and pivots at most: together they bound a task's memory and the summaries.
-BLOCK, GROUP, PIVOTS = 4096, 256, 64
+#: Bytes of data vectors in a unit, queries in a group, queries that meet a unit in one task, and pivots at most.
+UNIT_BYTES, GROUP, QUERIES, PIVOTS = 8 << 20, 256, 32_768, 64
 
 
 def finite(vector: Column) -> Column:
@@ -29,73 +31,117 @@ def finite(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
 
 
-def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
-    """Rows of a list column, all of one length, as a matrix."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
+def matrix(column: pa.Array, kind: type, dim: int) -> np.ndarray:
+    """Rows of a list column as a matrix of dim columns; rows that are shorter end in zeros."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    if len(values) == len(column) * dim:
+        return values.reshape(len(column), dim)
+    size = np.asarray(column.value_lengths())
+    out = np.zeros((len(column), dim), kind)
+    out[np.arange(dim)[None, :] < size[:, None]] = values
+    return out
 
 
-def pivots_of(vectors: DataFrame, most: int) -> np.ndarray:
-    """A bounded sample of vectors, chosen by a hash of their content, so that copies count once."""
-    rows = vectors.select(F.xxhash64("vector").alias("h"), "vector").groupBy("h").agg(F.first("vector").alias("vector")).orderBy("h").limit(most).collect()
-    return np.array([r["vector"] for r in rows], np.float64)
+def numbered(good: DataFrame, is_query: Column, name: str) -> tuple[DataFrame, dict]:
+    """row_id, vec_id, vector, query of every row, written; and how many rows and queries there are, the longest vector and the type of its components."""
+    single = isinstance(good.schema["embedding"].dataType.elementType, T.FloatType)
+    vector = F.col("embedding").cast("array<float>" if single else "array<double>")
+    base = good.select(F.monotonically_increasing_id().alias("row_id"), F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    base = written(base, name)
+    row = base.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("query").cast("long")), F.lit(0)).alias("queries"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")).collect()[0]
+    return base, row.asDict() | {"kind": np.float32 if single else np.float64}
+
+
+def packed_groups(queries: DataFrame, most: int, kind: type, dim: int) -> DataFrame:
+    """group_id, rows, ids, vectors: a task's queries, `most` at a time."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 32
+        for batch in together(batches, most):
+            for low in range(0, batch.num_rows, most):
+                part = batch.slice(low, most)
+                yield pa.RecordBatch.from_pydict({"group_id": [serial], "rows": [np.asarray(part.column("row_id")).tobytes()], "ids": [np.asarray(part.column("vec_id")).tobytes()], "vectors": [matrix(part.column("vector"), kind, dim).tobytes()]})
+                serial += 1
+
+    return queries.select("row_id", "vec_id", "vector").mapInArrow(group, "group_id long, rows binary, ids binary, vectors binary")
+
+
+def per_unit(asked: DataFrame, there: DataFrame, by: list[str], solve: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """solve(query groups, vectors) of every unit that has both."""
+    fields = [f.split() for f in schema.split(", ")]
+    arrow = pa.schema([(name, {"long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in fields])
+
+    def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = list(solve(left, right)) if left.num_rows and right.num_rows else []
+        return pa.Table.from_batches([b.select(arrow.names) for b in out], arrow) if out else arrow.empty_table()
+
+    return asked.groupBy(*by).cogroup(there.groupBy(*by)).applyInArrow(work, schema)
+
+
+def pivots_of(base: DataFrame, n: int, most: int) -> list[list[float]]:
+    """A bounded sample of vectors, drawn by a hash of their content before any shuffle, so that copies count once."""
+    rows = base.select(F.xxhash64("vector").alias("h"), "vector")
+    for share in (min(1.0, 16 * most / max(n, 1)), 1.0):
+        drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.first("vector").alias("vector")).orderBy("h").limit(most).collect()
+        if drawn:
+            return [r["vector"] for r in drawn]
+    return []
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers, beyond what a double holds; those beyond a long stop at its ends."""
+    ends = np.iinfo(np.int64)
+    own = [int(v) for v in q]
+    return np.array([min(max(sum(a * int(b) for a, b in zip(own, row, strict=True)), ends.min), ends.max) for row in x], np.int64)
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k other rows with the largest integer inner product.
 
-    Components become floor(scale * x). Ties go to the smaller vec_id; rows with the same vec_id are one vector (the
-    content with the smallest hash). Vectors that are null, hold a null or a non-finite component, or have another
-    length than most take no part, nor do rows without an id. With no query, or fewer than k other rows, the result is
-    as short as that. Products are computed in float64, exact while dimension * component^2 < 2^53.
+    Components become floor(scale * x), x as double. Ties go to the smaller vec_id. Rows are told apart by themselves,
+    not by vec_id: rows that share one are queries and candidates each. Vectors of unequal lengths multiply as if the shorter
+    ended in zeros. Vectors that are null or hold a null or a non-finite component take no part, nor do rows without an
+    id. With no query, or fewer than k other rows, the result is as short as that. Products that float64 does not hold
+    exactly (some component is large) are taken again in whole numbers, for all vectors that its error leaves in
+    question; scores beyond a long stop at its ends. Other columns, of whatever names, are not read.
     """
     good = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("int"))
-    base = good.select("vec_id", ints.alias("vector"), is_query.alias("query"), F.size("embedding").alias("dim"))
-    base = base.groupBy("vec_id").agg(F.min_by(F.struct("vector", "query", "dim"), F.xxhash64("vector")).alias("x")).select("vec_id", "x.*")
-    base = written(base, "knn-vectors")
-    stats = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)).alias("longest"), F.sum(F.col("query").cast("long")).alias("queries")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not stats or stats[0]["dim"] <= 0 or not stats[0]["queries"]:
-        return empty
-    dim, longest = stats[0]["dim"], float(stats[0]["longest"])
-    base = base.where(F.col("dim") == dim)
-    points = pivots_of(base, int(np.clip(stats[0]["queries"] // GROUP, 8, PIVOTS)))
+    base, stats = numbered(good, is_query, "knn-vectors")
+    if not stats["queries"]:
+        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim, kind = max(stats["dim"], 1), stats["kind"]
+    square = F.aggregate(F.transform("vector", lambda x: F.pow(F.abs(x.cast("double")) * scale + 1, F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)
+    large = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")) * scale + 1))
+    measured = base.agg(F.max(square).alias("longest"), F.max(large).alias("largest")).collect()[0]
+    longest, is_exact = measured["longest"], dim * (measured["largest"] or 0.0) ** 2 < 2.0**53
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return np.floor(x.astype(np.float64) * scale)
+
+    drawn = pivots_of(base, stats["n"], int(np.clip(stats["queries"] // GROUP, 8, PIVOTS)))
+    points = np.zeros((len(drawn), dim))
+    for i, v in enumerate(drawn):
+        points[i, : len(v)] = whole(np.array(v, np.float64))
     points = np.hstack([points, np.sqrt(np.maximum(longest - (points**2).sum(1), 0))[:, None]])
+    slack = 1e-6 * (1 + np.sqrt(longest))
 
-    def to_cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def to_cells(x: np.ndarray, lift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.hstack([x, lift[:, None]])
         square = (x**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * x @ points.T
         cell = square.argmin(1)
-        return cell, np.sqrt(np.maximum(square[np.arange(len(x)), cell], 0))
+        return cell, np.sqrt(((x - points[cell]) ** 2).sum(1))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors of a task by cell, near ones to the pivot first, cut into blocks; queries likewise as groups."""
-        serial = TaskContext.get().partitionId() << 32
-        for batch in together(batches, 16 * BLOCK):
-            ids, x = np.asarray(batch.column("vec_id")), matrix(batch.column("vector"))
-            asks = np.asarray(batch.column("query").fill_null(False))
-            lift = np.sqrt(np.maximum(longest - (x**2).sum(1), 0))
-            for kind, some, added, most in ((0, np.ones(len(ids), bool), lift, BLOCK), (1, asks, np.zeros(len(ids)), GROUP)):
-                own = np.flatnonzero(some)
-                if not len(own):
-                    continue
-                cell, away = to_cells(np.hstack([x[own], added[own, None]]))
-                order = np.lexsort((away, cell))
-                cell, away, own = cell[order], away[order], own[order]
-                for c in np.unique(cell):
-                    a, b = np.searchsorted(cell, [c, c + 1])
-                    for low in range(a, b, most):
-                        at = slice(low, min(b, low + most))
-                        yield pa.RecordBatch.from_pydict({
-                            "kind": pa.array([kind], pa.int32()), "block": [serial], "cell": pa.array([int(c)], pa.int32()), "n": pa.array([len(own[at])], pa.int32()),
-                            "near": [float(away[at][0])], "far": [float(away[at][-1])], "ids": [ids[own[at]].tobytes()], "vectors": [x[own[at]].astype(np.int32).tobytes()], "away": [away[at].tobytes()],
-                        })
-                        serial += 1
-
-    packed = written(base.select("vec_id", "vector", "query").mapInArrow(blocks, "kind int, block long, cell int, n int, near double, far double, ids binary, vectors binary, away binary"), "knn-blocks")
-    cells = packed.where("kind = 0").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = whole(matrix(batch.column("vector"), kind, dim))
+            cell, away = to_cells(x, np.sqrt(np.maximum(longest - (x**2).sum(1), 0)))
+            q_cell, q_away = to_cells(x, np.zeros(len(x)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row_id", "vec_id", "vector", "query")], pa.array(cell.astype(np.int32)), pa.array(away), pa.array(q_cell.astype(np.int32)), pa.array(q_away)], names=["row_id", "vec_id", "vector", "query", "cell", "away", "q_cell", "q_away"])
+
+    element = "float" if kind is np.float32 else "double"
+    placed = written(base.mapInArrow(place, f"row_id long, vec_id long, vector array<{element}>, query boolean, cell int, away double, q_cell int, q_away double"), "knn-cells")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()
     between = np.sqrt(np.maximum(((points[:, None, :] - points[None, :, :]) ** 2).sum(2), 0))
-    slack = 1e-6 * (1 + between.max())
 
     def bound(cell: int, far: float) -> float:
         """No query of a group at most `far` from its pivot has its k-th other vector farther away than this."""
@@ -106,42 +152,59 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
                 return distance
         return float("inf")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query group once for every cell that may hold a neighbour, with the distances from that cell's pivot in question."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                most = bound(row["cell"], row["far"])
-                for r in cells:
-                    gap = between[row["cell"], r["cell"]]
-                    low, high = gap - row["far"] - most - slack, gap + row["far"] + most + slack
-                    if low <= r["far"]:
-                        yield pa.RecordBatch.from_pydict({"group_id": [row["block"]], "cell": pa.array([r["cell"]], pa.int32()), "low": [low], "high": [high], "q_ids": [row["ids"]], "q_vectors": [row["vectors"]]})
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                away = np.frombuffer(row["away"], np.float64)
-                on = slice(*np.searchsorted(away, [row["low"], row["high"]], "left"))
-                ids, x = np.frombuffer(row["ids"], np.int64)[on], np.frombuffer(row["vectors"], np.int32).reshape(-1, dim)[on].astype(np.float64)
-                asked, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.int32).reshape(-1, dim).astype(np.float64)
-                if not len(ids):
-                    continue
-                order = np.argsort(ids)  # then ties in score keep the smaller id first
-                ids, products = ids[order], (q @ x[order].T)
-                products[ids[None, :] == asked[:, None]] = -np.inf
-                keep = min(k, len(ids))
-                limit = -np.partition(-products, keep - 1, axis=1)[:, keep - 1]
-                for i in range(len(asked)):
-                    at = np.flatnonzero(products[i] >= limit[i])
-                    at = at[np.argsort(-products[i, at], kind="stable")][:keep]
-                    at = at[np.isfinite(products[i, at])]
-                    yield pa.RecordBatch.from_pydict({"query_id": np.full(len(at), asked[i]), "vec_id": ids[at], "score": products[i, at].astype(np.int64)})
-
-    groups = packed.where("kind = 1").select("block", "cell", "far", "ids", "vectors").mapInArrow(wanted, "group_id long, cell int, low double, high double, q_ids binary, q_vectors binary")
-    data = packed.where("kind = 0").select("block", "cell", "near", "far", "ids", "vectors", "away")
-    pairs = data.withColumnRenamed("cell", "c").join(groups, (F.col("c") == F.col("cell")) & (F.col("near") <= F.col("high")) & (F.col("far") >= F.col("low")))
-    pairs = pairs.select("low", "high", "q_ids", "q_vectors", "ids", "vectors", "away").repartition(F.xxhash64("ids", "q_ids"))
-    found = pairs.mapInArrow(solve, "query_id long, vec_id long, score long")
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's queries by cell, near ones to the pivot first, in groups, each once for every cell that may hold a neighbour."""
+        serial = TaskContext.get().partitionId() << 32
+        for batch in together(batches, 16 * GROUP):
+            cell, away = np.asarray(batch.column("q_cell")), np.asarray(batch.column("q_away"))
+            order = np.lexsort((away, cell))
+            x = matrix(batch.column("vector"), kind, dim)
+            rows, ids = np.asarray(batch.column("row_id")), np.asarray(batch.column("vec_id"))
+            for c in np.unique(cell):
+                a, b = np.searchsorted(cell[order], [c, c + 1])
+                for start in range(a, b, GROUP):
+                    at = order[start : min(b, start + GROUP)]
+                    far = float(away[at].max())
+                    most = bound(int(c), far)
+                    own = {"group_id": [serial], "rows": [rows[at].tobytes()], "ids": [ids[at].tobytes()], "vectors": [x[at].tobytes()]}
+                    serial += 1
+                    for r in cells:
+                        gap = between[c, r["cell"]]
+                        low, high = gap - far - most - slack, gap + far + most + slack
+                        if low <= r["far"]:
+                            yield pa.RecordBatch.from_pydict(own | {"cell": pa.array([r["cell"]], pa.int32()), "low": [low], "high": [high]})
+
+    def solve(asked: pa.Table, there: pa.Table) -> Iterator[pa.RecordBatch]:
+        away = np.asarray(there.column("away").combine_chunks())
+        order = np.argsort(away, kind="stable")
+        away, all_rows, all_ids = away[order], np.asarray(there.column("row_id").combine_chunks())[order], np.asarray(there.column("vec_id").combine_chunks())[order]
+        data = whole(matrix(there.column("vector").combine_chunks(), kind, dim)[order])
+        for row in asked.to_pylist():
+            on = slice(*np.searchsorted(away, [row["low"], row["high"]], "left"))
+            rows, ids, x = all_rows[on], all_ids[on], data[on]
+            if not len(ids):
+                continue
+            own, asking, q = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64), whole(np.frombuffer(row["vectors"], kind).reshape(-1, dim))
+            products = q @ x.T
+            error = np.zeros((1, 1)) if is_exact else dim * 2.0**-50 * np.sqrt((q**2).sum(1))[:, None] * np.sqrt((x**2).sum(1))[None, :]
+            products[rows[None, :] == own[:, None]] = -np.inf
+            keep = min(k, len(ids))
+            limit = -np.partition(-(products - error), keep - 1, axis=1)[:, keep - 1]
+            for i in range(len(own)):
+                at = np.flatnonzero(products[i] + (0 if is_exact else error[i]) >= limit[i])
+                at = at[rows[at] != own[i]]
+                score = products[i, at].astype(np.int64) if is_exact else exact_scores(q[i], x[at])
+                first = np.lexsort((ids[at], -(score.astype(np.float64) if is_exact else score)))[:keep] if is_exact else sorted(range(len(at)), key=lambda j: (-int(score[j]), ids[at[j]]))[:keep]
+                at, score = at[first], score[first]
+                yield pa.RecordBatch.from_pydict({"query_row": np.full(len(at), own[i]), "query_id": np.full(len(at), asking[i]), "vec_id": ids[at], "score": score})
+
+    sent = placed.where("query").select("row_id", "vec_id", "vector", "q_cell", "q_away").mapInArrow(groups, "group_id long, rows binary, ids binary, vectors binary, cell int, low double, high double")
+    rows_of_unit, meetings = max(1, UNIT_BYTES // (8 * dim)), -(-stats["queries"] // QUERIES)
+    parts = F.create_map(*[F.lit(v) for r in cells for v in (r["cell"], -(-r["n"] // rows_of_unit))])[F.col("cell")]
+    asked = sent.withColumn("part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).withColumn("salt", F.pmod(F.xxhash64("group_id"), F.lit(meetings)).cast("int"))
+    there = placed.select("row_id", "vec_id", "vector", "away", "cell", F.pmod(F.xxhash64("row_id"), parts).cast("int").alias("part"))
+    there = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(meetings - 1))))
+    found = per_unit(asked, there, ["cell", "part", "salt"], solve, "query_row long, query_id long, vec_id long, score long")
     return best_of(found, k, F.desc("score"))
 
 
@@ -162,6 +225,6 @@ def together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 def best_of(found: DataFrame, k: int, by: Column) -> DataFrame:
     """The first k of each query's rows, ties to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy(by, "vec_id")
+    order = Window.partitionBy("query_row").orderBy(by, "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
