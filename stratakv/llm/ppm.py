@@ -1,8 +1,10 @@
 """Language identification by prediction by partial matching over bytes.
 
 One context tree per language, of variable order: a context of up to `order` bytes is kept when training saw it often
-enough in any language. Escape probabilities follow method C, and the statistics are frozen after training, so the
-code length of a byte depends only on the longest kept context before it. That makes the trees of all languages one
+enough in any language. Escape probabilities follow method C with exclusion: what an escape leaves goes to the bytes
+that the context has not seen, in proportion to their probabilities one byte shorter, so that every context's
+probabilities sum to one. Statistics are frozen after training, and the code length of a byte depends only on the
+longest kept context before it. That makes the trees of all languages one
 finite automaton: a state per kept context, a transition per byte, and per state, byte and language a code length.
 Texts are cut into strips that are read side by side, each from a few bytes before its start, which settles its state.
 """
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import slices, small_batches, text_bytes
+from stratakv.llm.textio import named, slices, small_batches, text_bytes
 
 UND = "und"
 LETTER = r"\p{L}"
@@ -108,12 +110,14 @@ def grow(texts: dict[str, list[bytes]], order: int, min_count: int, most_cells:
     states = int(first[-1])
     step = np.zeros((states, width), np.int32)
     bits = np.zeros((states, width, langs), np.float32)
+    chances = np.full((1, width, langs), 1.0 / width)
     for k, keys in enumerate(contexts):
         if k:
-            shorter = first[k - 1] + np.searchsorted(contexts[k - 1], keys % width ** (k - 1))
-            block, back = step[shorter].copy(), bits[shorter].astype(np.float64)
+            shorter = np.searchsorted(contexts[k - 1], keys % width ** (k - 1))
+            block, back = step[first[k - 1] + shorter].copy(), chances[shorter]
         else:
-            block, back = np.zeros((1, width), np.int32), np.full((1, width, langs), np.log2(width))
+            block, back = np.zeros((1, width), np.int32), chances
+        chances = np.empty((len(keys), width, langs))
         if k < order and len(contexts[k + 1]):  # a longer context, where one is kept
             longer = keys[:, None] * width + np.arange(width)
             at = np.minimum(np.searchsorted(contexts[k + 1], longer), len(contexts[k + 1]) - 1)
@@ -125,38 +129,52 @@ def grow(texts: dict[str, list[bytes]], order: int, min_count: int, most_cells:
             at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
             own = keys[at] == context if len(keys) else np.zeros(len(context), bool)
             at, sym, counts = at[own], (numbers % width)[own], counts[own]
-            total = np.bincount(at, counts, len(keys))
-            kinds = np.bincount(at, minlength=len(keys))
-            escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1)) - np.log2(np.maximum(kinds, 1)), 0.0)
-            cost = back[:, :, j] + escape[:, None]
-            cost[at, sym] = np.log2((total + kinds)[at]) - np.log2(counts)
-            bits[first[k] : first[k + 1], :, j] = cost
+            total, kinds = np.bincount(at, counts, len(keys)), np.bincount(at, minlength=len(keys))
+            shorter_p = back[:, :, j].copy()
+            shorter_p[at, sym] = 0.0
+            unseen = shorter_p.sum(1)
+            escapes = (kinds > 0) & (kinds < width)
+            weight = np.where(escapes, kinds / np.maximum(total + kinds, 1) / np.maximum(unseen, 1e-300), np.where(kinds > 0, 0.0, 1.0))
+            chance = shorter_p * weight[:, None]
+            chance[at, sym] = counts / np.where(escapes, total + kinds, np.maximum(total, 1))[at]
+            chances[:, :, j] = chance
+        bits[first[k] : first[k + 1]] = -np.log2(np.maximum(chances, 1e-300))
     return ContextTrees(languages, symbol, width, order, step.reshape(-1), bits.reshape(-1, langs))
 
 
-def training_sample(docs: DataFrame, bytes_per_language: int) -> dict[str, list[bytes]]:
-    """About bytes_per_language of whole texts of each language, chosen by a hash of the document.
+def training_sample(docs: DataFrame, bytes_per_language: int, passage: int = 2000, most_bytes: int = 64 << 20, most_languages: int = 500) -> dict[str, list[bytes]]:
+    """About bytes_per_language of passages of each language, most_bytes in all, of the most_languages with the most text.
 
-    The share of each language's documents comes from its total size, so the sample's size does not grow with the
-    input; documents longer than a sixteenth of the bound are passed over, and the bound is enforced again here.
+    Every document is cut into passages of `passage` characters, and a hash of document and place draws passages, so
+    long documents are learnt from like short ones. The share drawn comes from each language's total size: the sample
+    does not grow with the input, and beyond the bound the largest hashes go, whatever the order of the rows.
     """
-    size = F.octet_length("text")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (size <= bytes_per_language // 16))
-    totals = usable.groupBy("lang").agg(F.sum(size).alias("total"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.join(F.broadcast(totals), "lang").where(draw * F.col("total") < bytes_per_language)
-    out: dict[str, list[bytes]] = {}
-    for row in picked.select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator():
-        texts = out.setdefault(row["lang"], [])
-        if sum(map(len, texts)) < 2 * bytes_per_language:
-            texts.append(bytes(row["text"]))
-    return {name: sorted(texts) for name, texts in out.items()}
+    text = F.col("text")
+    usable = docs.where(F.col("lang").isNotNull() & text.rlike(LETTER)).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row_hash"))
+    sizes = {r["lang"]: r["size"] for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(most_languages).collect()}
+    if not sizes:
+        return {}
+    each = min(bytes_per_language, most_bytes // len(sizes))
+    shares = docs.sparkSession.createDataFrame([(name, int(min(1.0, each / n) * (1 << 30))) for name, n in sizes.items()], "lang string, share long")
+    drawn = lambda i: F.pmod(F.xxhash64("row_hash", i), F.lit(1 << 30)) < F.col("share")
+    places = F.filter(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / passage).cast("int")), drawn)
+    parts = usable.join(F.broadcast(shares), "lang").select("lang", "row_hash", F.explode(F.transform(places, lambda i: F.struct(i.alias("place"), F.substring(text, i * passage + 1, F.lit(passage)).alias("part")))).alias("x"))
+    parts = parts.select("lang", F.col("x.part").cast("binary").alias("part"), F.xxhash64("row_hash", "x.place").alias("draw")).distinct()
+    out: dict[str, list[bytes]] = {name: [] for name in sizes}
+    room = dict.fromkeys(sizes, 2 * each)
+    for row in parts.orderBy("draw", "lang", "part").limit(4 * sum(min(n, each) for n in sizes.values()) // passage + 64 * len(sizes)).collect():
+        if room[row["lang"]] > 0:
+            out[row["lang"]].append(bytes(row["part"]))
+            room[row["lang"]] -= len(row["part"])
+    return {name: sorted(texts) for name, texts in out.items() if texts}
 
 
 def learn(docs: DataFrame, order: int = 4, min_count: int = 24, bytes_per_language: int = 400_000, most_cells: int = 12_000_000) -> ContextTrees:
     """Trees of the languages in docs.lang, from a bounded sample of its labelled rows (see training_sample).
 
     The documented bounds: bytes_per_language of text each, most_cells code lengths in all, whatever the input's size.
+    Only lang, text and, to draw the sample, doc_id are read. A null lang, a null text and a text without a letter teach
+    nothing; with no other rows nothing is learnt.
     """
     return grow(training_sample(docs, bytes_per_language), order, min_count, most_cells)
 
@@ -173,7 +191,7 @@ def identify(docs: DataFrame, trees: ContextTrees, keep: tuple[Column | str, ...
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     small_batches(docs)
     names = [f"keep_{i}" for i in range(len(keep))]
-    cols = [F.col(c) if isinstance(c, str) else c for c in keep]
+    cols = [named(c) if isinstance(c, str) else c for c in keep]
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     names = ["text" if isinstance(c, str) and c == "text" else n for c, n in zip(keep, names, strict=True)]  # sent once
     given = docs.select(*[c.alias(n) for c, n in zip(cols, names, strict=True) if n != "text"], lettered.alias("lettered"), "text")
