@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import LOWER, SPACE, slices, small_batches, text_bytes
+from stratakv.llm.textio import LOWER, SPACE, joined, slices, small_batches, text_bytes, written
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -56,84 +56,116 @@ def present(raw: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     return pairs // max(features, 1), pairs % max(features, 1)
 
 
-def fit(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, features: int = 4000, evidence: float = 20.0, alpha: float = 0.5, decay: float = 10.0, rounds: int = 300) -> Classifier:
-    """Log-count ratios of presence in toxic and other texts scale the features; logistic regression weighs them.
+def choose(counts: np.ndarray, bad: int, good: int, features: int, evidence: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that are features, in order, and their log-count ratios.
 
-    N-grams whose presence tells the classes apart by a likelihood ratio statistic of `evidence` or more are features,
-    the `features` strongest of them. Both classes weigh the same in the fit.
+    counts: in how many texts of either label (0, 1) each bucket is present. The features are the n-grams whose presence
+    tells the labels apart by a likelihood ratio statistic of `evidence` or more, the `features` strongest of them.
     """
-    n, good, bad = len(label), int((label == 0).sum()), int((label == 1).sum())
-    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
-    for i in range(n):
-        part = raw[offsets[i] : offsets[i + 1]]
-        own = [b for _, b in buckets(part)]
-        if own:
-            counts[label[i], np.unique(np.concatenate(own))] += 1
-    index = np.zeros(1 << BUCKET_BITS, np.int32)
-    if not good or not bad:
-        return Classifier(index, np.zeros(1), float(np.clip((bad > 0) * 8.0 - 4.0, -4, 4)))
-    p, q = (counts[1] + alpha) / (bad + 2 * alpha), (counts[0] + alpha) / (good + 2 * alpha)
-    ratio = np.log(p / q)
-    gain = np.zeros(1 << BUCKET_BITS)
-    both = counts.sum(0)
+    both, n = counts.sum(0), good + bad
+    gain = np.zeros(counts.shape[1])
     for side, size in ((0, good), (1, bad)):
         for seen, margin in ((counts[side], both), (size - counts[side], n - both)):
             on = seen > 0
             gain[on] += 2 * seen[on] * np.log(seen[on] / (margin[on] * (size / n)))
     chosen = np.sort(np.argsort(-gain, kind="stable")[: min(features, int((gain >= evidence).sum()))])
-    index[chosen] = np.arange(1, len(chosen) + 1)
-    scale = ratio[chosen]
-    row, feature = present(raw, offsets, index)
+    p, q = (counts[1, chosen] + alpha) / (bad + 2 * alpha), (counts[0, chosen] + alpha) / (good + 2 * alpha)
+    return chosen, np.log(p / q)
+
+
+def regress(row: np.ndarray, feature: np.ndarray, scale: np.ndarray, label: np.ndarray, decay: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features, each worth its scale; both labels weigh the same. Weights and bias."""
+    n, bad = len(label), int(label.sum())
     x = scale[feature]
-    share = np.where(label == 1, 0.5 / bad, 0.5 / good)
-    w, b = np.zeros(len(chosen)), 0.0
-    mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    share = np.where(label == 1, 0.5 / bad, 0.5 / (n - bad))
+    w, b = np.zeros(len(scale)), 0.0
+    mean, square = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, rounds + 1):  # Adam on the whole sample
         z = np.clip(np.bincount(row, x * w[feature], n) + b, -40, 40)
         error = (1 / (1 + np.exp(-z)) - label) * share
-        slope = np.concatenate([np.bincount(feature, x * error[row], len(chosen)) + decay / n * w, [error.sum()]])
+        slope = np.concatenate([np.bincount(feature, x * error[row], len(scale)) + decay / n * w, [error.sum()]])
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope**2
         move = 0.02 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Classifier(index, w * scale if len(chosen) else np.zeros(1), float(b))
+    return w, float(b)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> DataFrame:
-    """About per_class whole texts of either label, picked by a hash of the id; one label a document (the highest)."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for value, n in sorted(totals.items()):
-        share = F.when(F.col("toxic") == value, F.lit(per_class / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    marks = marks.where(draw < share)
-    return docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(marks, "doc_id").dropDuplicates(["doc_id"])
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """doc_id, text, toxic of per_class documents of either label at most: those whose ids have the smallest hashes.
 
+    A document labelled more than once has its highest label; rows of one id with several texts count as the text with
+    the smallest hash. Labels other than 0 and 1 are passed over.
+    """
+    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    there = marks.join(texts.select("id").distinct(), "id", "left_semi")
+    parts = [there.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(per_class) for value in (0, 1)]
+    picked = texts.join(F.broadcast(parts[0].union(parts[1])), "id")  # 2 * per_class rows at most
+    return picked.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_bytes: int = 60_000) -> Classifier:
-    """A classifier from at most about 2 * per_class labelled documents (of most_bytes at most), fitted in one task.
 
-    The bound is the same at every input size. Without rows of both labels every text gets one score.
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, features: int = 4000, evidence: float = 20.0, alpha: float = 0.5, decay: float = 10.0, rounds: int = 300) -> Classifier:
+    """Log-count ratios of presence in toxic and other texts scale the features; logistic regression weighs them.
+
+    Learns from whole texts of at most per_class labelled documents of either label, the documented bound at every input
+    size. Texts stay in their tasks: presence is counted there and summed by parts of the buckets, and the fit, in one
+    task, reads which features each text has. Without rows of both labels every text gets one score.
     """
+    sample = written(labelled_sample(docs, labels, per_class).select("id", "text", "toxic").repartition(16, "id"), "toxicity-sample")
+    small_batches(docs)
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    good, bad = totals.get(0, 0), totals.get(1, 0)
+    index = np.zeros(1 << BUCKET_BITS, np.int32)
+    if not good or not bad:
+        return Classifier(index, np.zeros(1), float((bad > 0) * 4.0 - (good > 0) * 4.0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+        for batch in slices(batches, "text", 4 << 20):
+            raw, offsets = text_bytes(batch.column("text"))
+            for i, label in enumerate(batch.column("toxic").to_pylist()):
+                own = [b for _, b in buckets(raw[offsets[i] : offsets[i + 1]])]
+                if own:
+                    counts[label, np.unique(np.concatenate(own))] += 1
+        at = np.flatnonzero(counts.any(0))
+        cut = np.searchsorted(at, np.arange(17) << (BUCKET_BITS - 4))
+        for part in range(16):
+            own = at[cut[part] : cut[part + 1]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": [own.astype(np.int64).tobytes()], "good": [counts[0, own].tobytes()], "bad": [counts[1, own].tobytes()]})
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        at, inverse = np.unique(joined(group.column("at"), np.int64), return_inverse=True)
+        sums = [np.bincount(inverse, joined(group.column(c), np.int32), len(at)).astype(np.int32) for c in ("good", "bad")]
+        return pa.table({"at": [at.tobytes()], "good": [sums[0].tobytes()], "bad": [sums[1].tobytes()]}, schema=pa.schema([(c, pa.binary()) for c in ("at", "good", "bad")]))
+
+    packed = sample.mapInArrow(count, "part int, at binary, good binary, bad binary").groupBy("part").applyInArrow(add, "at binary, good binary, bad binary")
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    for row in packed.toLocalIterator():  # one number a bucket and label at most
+        at = np.frombuffer(row["at"], np.int64)
+        counts[0, at], counts[1, at] = np.frombuffer(row["good"], np.int32), np.frombuffer(row["bad"], np.int32)
+    chosen, scale = choose(counts, bad, good, features, evidence, alpha)
+    index[chosen] = np.arange(1, len(chosen) + 1)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.zeros(1 << BUCKET_BITS, np.int32)
+        index[chosen] = np.arange(1, len(chosen) + 1)
+        for batch in slices(batches, "text", 4 << 20):
+            row, feature = present(*text_bytes(batch.column("text")), index)
+            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(lists, pa.binary())], names=["id", "toxic", "features"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        table = pa.Table.from_batches(got) if got else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "toxic": pa.array([], pa.int32())})
-        table = table.sort_by("doc_id")
-        raw, offsets = text_bytes(table.column("text"))
-        model = fit(raw, offsets, (np.asarray(table.column("toxic").combine_chunks()).astype(np.int64) == 1).astype(np.int64))
-        at = np.flatnonzero(model.index)
-        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "number": [model.index[at].tobytes()], "weight": [model.weight.tobytes()], "bias": [model.bias]})
-
-    sample = labelled_sample(docs, labels, per_class, most_bytes).select("doc_id", "text", "toxic").repartition(1)
-    rows = sample.mapInArrow(train, "at binary, number binary, weight binary, bias double").collect()
-    index = np.zeros(1 << BUCKET_BITS, np.int32)
-    if not rows:
-        return Classifier(index, np.zeros(1), 0.0)
-    row = rows[0]
-    index[np.frombuffer(row["at"], np.int64)] = np.frombuffer(row["number"], np.int32)
-    return Classifier(index, np.frombuffer(row["weight"], np.float64), row["bias"])
+        table = pa.Table.from_batches([b for b in batches if b.num_rows]).sort_by("id")
+        lists = [np.frombuffer(b, np.int32) for b in table.column("features").to_pylist()]
+        row, feature = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
+        weight, bias = regress(row, feature, scale, np.asarray(table.column("toxic").combine_chunks()).astype(np.int64), decay, rounds)
+        yield pa.RecordBatch.from_pydict({"weight": [weight.tobytes()], "bias": [bias]})
+
+    spelled = sample.mapInArrow(spell, "id long, toxic int, features binary").repartition(1)
+    fitted = spelled.mapInArrow(train, "weight binary, bias double").collect()[0]
+    return Classifier(index, np.frombuffer(fitted["weight"], np.float64) * scale if len(chosen) else np.zeros(1), fitted["bias"])
 
 
 def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
