@@ -288,14 +288,27 @@ def windows(model: Scanner, start: np.ndarray, end: np.ndarray, bucket: np.ndarr
     return out
 
 
+def plain_passages(docs: DataFrame, most: int, passage: int = 2000) -> list[str]:
+    """At most `most` distinct passages of docs' lines, of `passage` characters at most, without a licence word.
+
+    A hash of a passage's own words draws it, and the smallest hashes stay, so copies count once and neither the order
+    of rows nor their layout matters. Long lines are drawn from in all of their passages.
+    """
+    share = min(1.0, 4 * most / max(docs.count(), 1))  # a document has a line at least, most have several
+    lines = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
+    places = F.sequence(F.lit(0), F.floor((F.length("line") - 1) / passage).cast("int"))
+    parts = lines.select(F.explode(F.transform(places, lambda i: F.substring(F.col("line"), i * passage + 1, F.lit(passage)))).alias("part"))
+    drawn = parts.select("part", F.xxhash64("part").alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))
+    plain = drawn.where(~F.lower("part").rlike("licen|copyright|permission|reserved|public domain|spdx|cc.by|gpl"))
+    return [r["part"] for r in plain.distinct().orderBy(F.pmod("draw", F.lit(1 << 30)), "part").limit(most).collect()]
+
+
 def learn(docs: DataFrame, negatives: int = 3000, copies: int = 24, seed: int = 5) -> Scanner:
-    """A scanner from the templates and, for the unknown class, at most `negatives` lines of docs without a licence word."""
-    line = F.explode(F.split("text", "\n"))
-    total = docs.agg(F.count("*").alias("n")).collect()[0]["n"]
-    share = min(1.0, negatives / max(total, 1))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    plain = docs.where(draw < share).select(line.alias("line")).where(~F.lower("line").rlike("licen|copyright|permission|reserved|public domain|spdx|cc.by|gpl") & (F.length("line") > 0))
-    own = [r["line"] for r in plain.select(F.substring("line", 1, 400).alias("line")).limit(negatives).collect()]
+    """A scanner from the templates and, for the unknown class, at most `negatives` passages of docs without a licence word.
+
+    Only text is read; null and empty texts give no passage, and without any the unknown class has its own examples.
+    """
+    own = plain_passages(docs, negatives)
     rng = np.random.default_rng(seed)
     texts, names = examples(rng, copies)
     texts, names = texts + own, names + ["unknown"] * len(own)
