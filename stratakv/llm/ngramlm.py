@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import input_bytes, joined, mix, slices, small_batches, sum_by_key, text_bytes, words_of, written
+from stratakv.llm.textio import by_shard, input_bytes, joined, mix, shard_bits, slices, small_batches, sum_by_key, text_bytes, words_of, written
 
 END = np.uint64(0xA0761D6478BD642F)
 START = np.uint64(0xE7037ED1A0B428DB)
@@ -62,12 +62,6 @@ def sequence(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return token, before, edges
 
 
-def by_shard(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """Shard, start and end of each run of sorted keys with the same upper bits."""
-    cut = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    return [(s, int(a), int(b)) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-
-
 def packed(order: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[int, int, bytes, bytes]]:
     """Sorted keys and counts cut by the upper bits of the key."""
     return [(order, s, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for s, a, b in by_shard(keys, bits)]
@@ -137,7 +131,7 @@ def learn(docs: DataFrame, frequent: int = 1 << 20) -> Model:
     `frequent` bounds the unigrams whose exact counts are broadcast for the base score.
     """
     small_batches(docs)
-    bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / (4 << 20))), 5, 16))
+    bits = shard_bits(input_bytes(docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -191,7 +185,10 @@ def learn(docs: DataFrame, frequent: int = 1 << 20) -> Model:
     frequent_from = 1
     for order in (UNI, BI):
         own = sorted((r["level"], r["n"], r["s"]) for r in stats if r["ngram"] == order)
-        values[order] = np.array([s / n if n else 0.0 for _, n, s in own] or [0.0])
+        means = [0.0]
+        for _, n, s in own[1:]:  # a probe may err upwards, so a level that nothing has counts as the one below
+            means.append(s / n if n else means[-1])
+        values[order] = np.array(means)
         if order == UNI:
             above = 0
             for level, n, _ in reversed(own):
