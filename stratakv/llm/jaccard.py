@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakv.llm.components import components
-from stratakv.llm.ngramlm import by_shard
-from stratakv.llm.textio import input_bytes, mix, slices, small_batches, text_bytes, words_of, written
+from stratakv.llm.textio import by_shard, input_bytes, mix, shard_bits, slices, small_batches, text_bytes, words_of, written
 
 #: Signatures packed at a time, and documents that meet in one unit.
 FLUSH, UNIT = 2_000_000, 256
+#: A set of more than one in SHARE rows is sent to all of them.
+SHARE = 1000
 
 
 def shingles(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +197,7 @@ def join_groups(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     Copies within a task are joined on as one document, the smallest; so a text that fills a third of the table sends
     one row a task, not one a copy.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(input_bytes(docs), 1) / (4 << 20))), 5, 16))
-
+    bits = shard_bits(input_bytes(docs))
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,11 +312,27 @@ def similar_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     rest = across_salts(open_groups(groups, label), salted_centers(again), label)
     if not rest.isEmpty():
         label = components(links_of(rest, ["center", "salt", "other"], texts, words, bands).union(label))
-    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("first"))
-    own = sets.join(classes, ["n_shingles", "d1", "d2"], "left")
-    found = own.join(label.withColumnRenamed("node", "first"), "first", "left")
-    result = found.select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
-    return result
+    return with_components(sets, label)
+
+
+def with_components(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id from the sets of all rows and the components of the smallest document of each set.
+
+    Of all sets, at most SHARE can be those of more than one in SHARE rows: these go to the rows by broadcast, the others
+    meet theirs in a shuffle, so neither copies that fill a third of the table nor empty texts come together in one task.
+    """
+    key = ["n_shingles", "d1", "d2"]
+    full, total = sets.where("n_shingles > 0"), sets.count()
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    classes = classes.join(label.withColumnRenamed("node", "first"), "first", "left").select(*key, F.coalesce("component", "first").alias("component"), "n")
+    classes = written(classes, "jaccard-classes")
+    large = F.broadcast(classes.where(F.col("n") > max(total // SHARE, 1)).select(*key, F.col("component").alias("of_large"), F.lit(True).alias("large")))
+    parted = full.join(large, key, "left")
+    found = parted.where("large").select("doc_id", "n_shingles", "of_large")
+    rest = parted.where("large IS NULL").select("doc_id", *key).join(classes.drop("n"), key, "left").select("doc_id", "n_shingles", "component")
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id"))
+    result = found.union(rest).union(empty).toDF("doc_id", "n_shingles", "component")
+    return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def open_groups(groups: DataFrame, label: DataFrame) -> DataFrame:
