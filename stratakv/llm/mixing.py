@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import written
+from stratakv.llm.textio import named, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's key range; only the slice in which its budget ends is sorted.
-KEY_SLICES = 4096
+#: Slices of a source's keys for every doubling of the key; only the slice in which the budget ends is sorted.
+KEY_SLICES = 512
 
 
 def size_in_words(text: Column) -> Column:
@@ -67,7 +67,7 @@ def mix_sources(
     early. The document in which the budget ends is taken up to it, so a source's taken words are floor(target).
 
     Sizes and keys are computed once and written. The prefix sums never sort a whole source: keys fall into
-    KEY_SLICES slices, slices are summed before any shuffle, a window runs over the sums, and only documents of the
+    KEY_SLICES slices for every doubling, whatever the scale of the weights, slices are summed before any shuffle, a window runs over the sums, and only documents of the
     slice in which the budget ends are ordered one by one, so a source with a third of all rows is spread over all
     tasks. Null text has size 0 and takes nothing; null sources form one source; rows with the same id and equal keys
     are ordered by size and any repeated row is a document of its own. `keep` names more columns to carry; columns of
@@ -76,13 +76,13 @@ def mix_sources(
     spark = docs.sparkSession
     weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(1.0)
     sized = docs.select(
-        *[F.col(c).alias(f"kept_{c}") for c in keep],
+        *[named(c).alias(f"kept_{i}") for i, c in enumerate(keep)],
         F.col("doc_id"),
         F.col("source"),
         size_in_words(F.col("text")).alias("size"),
         sampling_key(F.col("doc_id"), weight, seed).alias("key"),
     )
-    sized = written(sized.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * KEY_SLICES).cast("int")), "mix-sizes")
+    sized = written(sized.withColumn("slice", F.floor(F.log2("key") * KEY_SLICES).cast("int")), "mix-sizes")
     summed = written(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.count("*").alias("n")), "mix-slices")
     aims = targets(summed.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -110,7 +110,7 @@ def mix_sources(
     )
     rest = both.where(~ends_here).withColumn("part", F.when(F.col("room") > 0, F.col("size")).otherwise(0))
     return cut.unionByName(rest).select(
-        *[F.col(f"kept_{c}").alias(c) for c in keep],
+        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
         "doc_id",
         "size",
         "source_size",
