@@ -58,16 +58,15 @@ class SortedProjections:
         if n <= need:
             return np.arange(n)
         widths = rounds * reach
-        hits, checked, best = np.zeros(n, np.uint16), np.zeros(n, bool), np.empty(0)
+        hits, checked, best = np.zeros(n, np.int64), np.zeros(n, bool), np.empty(0)
         low = np.array([np.searchsorted(self.sorted[j], (at[j] - widths).astype(np.float32), "left") for j in range(lines)])
         high = np.array([np.searchsorted(self.sorted[j], (at[j] + widths).astype(np.float32), "right") for j in range(lines)])
         was_low, was_high = low[:, 0], low[:, 0]
         for r, radius in enumerate(rounds):
-            for j in range(lines):
-                if low[j, r] < was_low[j]:
-                    hits[self.order[j, low[j, r] : was_low[j]]] += 1
-                if was_high[j] < high[j, r]:
-                    hits[self.order[j, was_high[j] : high[j, r]]] += 1
+            slices = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low[:, r].tolist(), was_low.tolist(), strict=True)) if a < b]
+            slices += [self.order[j, a:b] for j, (a, b) in enumerate(zip(was_high.tolist(), high[:, r].tolist(), strict=True)) if a < b]
+            if slices:
+                hits += np.bincount(np.concatenate(slices), minlength=n)
             was_low, was_high = low[:, r], high[:, r]
             new = np.flatnonzero((hits >= least) & ~checked)
             checked[new] = True
