@@ -41,39 +41,59 @@ def threshold(lines: int, reach: float, sure: float) -> int:
 
 
 class SortedProjections:
-    """Sorted projections of one block of unit vectors, and the search in them."""
+    """Sorted projections of one block of unit vectors, every vector's place among them, and the search in them."""
 
     def __init__(self, unit: np.ndarray, directions: np.ndarray):
-        self.unit = unit
-        self.order = np.empty((len(directions), len(unit)), np.intp)
-        self.sorted = np.empty((len(directions), len(unit)), np.float32)
+        self.unit, self.start = unit, 0
+        lines, n = len(directions), len(unit)
+        self.sorted = np.empty((lines, n), np.float32)
+        self.place = np.empty((lines, n), np.uint16 if n < 1 << 16 else np.uint32)
+        places = np.arange(n).astype(self.place.dtype)
         for j, line in enumerate(directions):
             along = (unit @ line).astype(np.float32)
-            self.order[j] = np.argsort(along, kind="stable")
-            self.sorted[j] = along[self.order[j]]
+            order = np.argsort(along)
+            self.sorted[j] = along[order]
+            self.place[j, order] = places
 
     def candidates(self, query: np.ndarray, at: np.ndarray, need: int, least: int, rounds: np.ndarray, reach: float) -> np.ndarray:
-        """Positions of the verified vectors. at: the query's projections; need: vectors to find within a round's radius."""
+        """Positions of the vectors verified in the first round that ends the search. at: the query's projections; need: vectors to find within a round's radius.
+
+        A later round verifies all that an earlier one does, within a larger radius, so once a round ends the search all
+        later ones do. The first such round is hence the same from wherever one looks for it, and the round before the
+        last query's is close by. A vector is in a line's window when its place is; places are unsigned, so one
+        comparison tells both ends.
+        """
         lines, n = self.sorted.shape
         if n <= need:
             return np.arange(n)
-        widths = rounds * reach
-        hits, checked, best = np.zeros(n, np.int64), np.zeros(n, bool), np.empty(0)
-        low = np.array([np.searchsorted(self.sorted[j], (at[j] - widths).astype(np.float32), "left") for j in range(lines)])
-        high = np.array([np.searchsorted(self.sorted[j], (at[j] + widths).astype(np.float32), "right") for j in range(lines)])
-        was_low, was_high = low[:, 0], low[:, 0]
-        for r, radius in enumerate(rounds):
-            slices = [self.order[j, a:b] for j, (a, b) in enumerate(zip(low[:, r].tolist(), was_low.tolist(), strict=True)) if a < b]
-            slices += [self.order[j, a:b] for j, (a, b) in enumerate(zip(was_high.tolist(), high[:, r].tolist(), strict=True)) if a < b]
-            if slices:
-                hits += np.bincount(np.concatenate(slices), minlength=n)
-            was_low, was_high = low[:, r], high[:, r]
-            new = np.flatnonzero((hits >= least) & ~checked)
-            checked[new] = True
-            best = np.sort(np.concatenate([best, 2 - 2 * (self.unit[new] @ query)]))[:need]
-            if len(best) == need and best[-1] <= radius**2:
-                return np.flatnonzero(checked)
-        return np.arange(n)
+        widths = np.concatenate([-rounds, rounds]) * reach
+        edges = np.array([self.sorted[j].searchsorted((at[j] + widths).astype(np.float32)) for j in range(lines)])
+        low = edges[:, : len(rounds)].astype(self.place.dtype)
+        size = (edges[:, len(rounds) :] - edges[:, : len(rounds)]).astype(self.place.dtype)
+        distance = np.full(n, np.nan)
+        hits, inside, away = np.empty(n, np.uint8 if lines < 256 else np.uint16), np.empty(n, bool), np.empty(n, self.place.dtype)
+
+        def verified(r: int) -> tuple[np.ndarray, bool]:
+            hits[:] = 0
+            for j in range(lines):
+                np.less(np.subtract(self.place[j], low[j, r], out=away), size[j, r], out=inside)
+                np.add(hits, inside.view(np.uint8), out=hits)
+            some = np.flatnonzero(hits >= least)
+            new = some[np.isnan(distance[some])]
+            distance[new] = 2 - 2 * (self.unit[new] @ query)
+            return some, len(some) >= need and bool(np.partition(distance[some], need - 1)[need - 1] <= rounds[r] ** 2)
+
+        r = max(self.start - 1, 0)
+        some, ends = verified(r)
+        if ends:
+            while r and (before := verified(r - 1))[1]:
+                some, r = before[0], r - 1
+        else:
+            while not ends and r + 1 < len(rounds):
+                r += 1
+                some, ends = verified(r)
+        self.start = r
+        return some if ends else np.arange(n)
 
 
 def scaled(x: np.ndarray) -> np.ndarray:

@@ -301,6 +301,26 @@ def test_recall_on_many_vectors_and_how_many_are_verified(spark):
     assert max(share) < 0.5
 
 
+def test_a_search_ends_in_the_same_round_from_wherever_it_starts():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 12)) + 2 * rng.normal(size=(7, 12))[rng.integers(0, 7, 700)]
+    unit, directions, rounds = x / np.linalg.norm(x, axis=1)[:, None], rng.normal(size=(64, 12)), collision.radii()
+    least, ended = collision.threshold(64, 1.0, 1.3), set()
+    index, along = collision.SortedProjections(unit, directions), unit @ directions.T
+    for q in (*unit[::35], *rng.normal(size=(4, 12))):
+        q = q / np.linalg.norm(q)
+        for r, radius in enumerate(rounds):  # plain virtual rehashing, window by window
+            some = np.flatnonzero((np.abs(along - directions @ q) <= radius).sum(1) >= least)
+            if len(some) >= 6 and np.sort(2 - 2 * unit[some] @ q)[5] <= radius**2:
+                break
+        ended.add(r)
+        for start in (0, r, len(rounds) - 1):
+            index.start = start
+            assert index.candidates(q, directions @ q, 6, least, rounds, 1.0).tolist() == some.tolist()
+            assert index.start == r
+    assert len(ended) > 2
+
+
 def test_nearest_tells_rows_of_one_id_apart(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (2, [1.0, 1.0]), (3, [2.0]), (4, [1e200, 1e200])]
     got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in collision.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=6).collect())
