@@ -4,9 +4,11 @@ Counting: every task sums the unigrams and bigrams of some millions of words, pa
 and one group per shard merges them. Each shard becomes a piece of the filter: an n-gram whose count falls in level q
 of a logarithmic scale is entered q times, as (n-gram, 1) .. (n-gram, q), so its level is found again by probing until
 a probe misses. Scoring: the pieces go to the workers as one broadcast while their measured size is below a bound;
-beyond it, documents send their n-grams to the pieces and get the levels back, with the same result.
+beyond it, batches of documents send their distinct n-grams to the pieces, as gaps between sorted hashes, and get a byte
+for each back, in the same order, with the same result.
 
-Words are 64-bit hashes throughout (two words of a corpus of ten million types collide with probability 3e-6).
+Words are 64-bit hashes throughout (two words of a corpus of ten million types collide with probability 3e-6), bigrams
+48-bit ones (one that is not among 10^10 learnt ones equals one of them with probability 4e-5, a false probe's is 4e-3).
 """
 
 from __future__ import annotations
@@ -21,18 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratakv.llm.textio import by_shard, input_bytes, joined, mix, shard_bits, slices, small_batches, sum_by_key, text_bytes, words_of, written
+from stratakv.llm.textio import by_shard, gathered, input_bytes, joined, mix, shard_bits, slices, small_batches, sum_by_key, text_bytes, words_of, written
 
 END = np.uint64(0xA0761D6478BD642F)
 START = np.uint64(0xE7037ED1A0B428DB)
 UNI, BI = 1, 2
 #: Words whose sums are packed at a time.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bytes of text scored at a time.
-SLICE = 6 << 20
-#: Probes of the first level keep unseen n-grams out; those above only tell levels apart.
-FIRST, MORE = 8, 3
-BITS_PER_ENTRY = 1.45
+SLICE = 8 << 20
+#: Keys that go to or from the JVM in one record batch.
+PARCEL = 1 << 19
+#: Bits of the first level keep unseen n-grams out; those above only tell levels apart. WORD bits at most lie in one 64-bit word.
+FIRST, MORE, WORD = 8, 3, 4
+BITS_PER_ENTRY = 1.6
 #: Ratio of a level's counts to those of the level below, by n-gram order.
 STEP = {UNI: 1.25, BI: 1.6}
 #: Interpolation weights of the bigram estimate; a document's probability is the mean over them.
@@ -44,7 +48,7 @@ def level_of(counts: np.ndarray, order: int) -> np.ndarray:
 
 
 def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word) & ~np.uint64(0xFFFF)
 
 
 def sequence(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,13 +66,53 @@ def sequence(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return token, before, edges
 
 
-def packed(order: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple[int, int, bytes, bytes]]:
-    """Sorted keys and counts cut by the upper bits of the key."""
-    return [(order, s, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for s, a, b in by_shard(keys, bits)]
+def squeezed(keys: np.ndarray, runs: list[tuple[int, int, int]]) -> list[bytes]:
+    """Each run of sorted keys as its first key and the gaps between them, bytes by significance: most are 0 and compress."""
+    gap = np.diff(keys, prepend=np.uint64(0))
+    start = [a for _, a, _ in runs]
+    gap[start] = keys[start]
+    byte = gap.view(np.uint8).reshape(-1, 8)
+    return [byte[a:b].T.tobytes() for _, a, b in runs]
 
 
-def probe_at(keys: np.ndarray, level: int, i: int, cells: np.ndarray | int) -> np.ndarray:
-    return (mix(keys + np.uint64((level * 64 + i + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1)) >> np.uint64(1)).astype(np.int64) % cells
+def unsqueezed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs, one after the other, and how many each has."""
+    size = np.array([len(b) // 8 for b in blobs], np.int64)
+    end = np.cumsum(size)
+    byte = np.empty((int(size.sum()), 8), np.uint8)
+    for blob, n, stop in zip(blobs, size.tolist(), end.tolist(), strict=True):
+        byte[stop - n : stop] = np.frombuffer(blob, np.uint8).reshape(8, n).T
+    gap = byte.view(np.uint64).reshape(-1)
+    total = np.cumsum(gap)
+    full = size > 0
+    start = (end - size)[full]
+    return total - np.repeat(total[start] - gap[start], size[full]), size
+
+
+def parcels(runs: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs in lists of about PARCEL keys, one run at least."""
+    low = 0
+    for i, (_, _, stop) in enumerate(runs):
+        if i + 1 == len(runs) or stop - runs[low][1] >= PARCEL:
+            yield runs[low : i + 1]
+            low = i + 1
+
+
+def probed(keys: np.ndarray, level: int, group: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a piece that holds the key's bits of this level and group, and their places in it, 6 bits each."""
+    h = mix(keys + np.uint64((level * 64 + group + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
+    return (((h >> np.uint64(32)) * words) >> np.uint64(32)).view(np.int64), h
+
+
+def groups_of(level: int) -> list[int]:
+    """Bits in each word probed for a level."""
+    n = FIRST if level == 1 else MORE
+    return [min(WORD, n - i) for i in range(0, n, WORD)]
+
+
+def places(h: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    for i in range(n):
+        yield (h >> np.uint64(6 * i)) & np.uint64(63)
 
 
 def filter_piece(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
@@ -78,8 +122,10 @@ def filter_piece(keys: np.ndarray, levels: np.ndarray) -> tuple[int, bytes]:
     hit = np.zeros(cells, bool)
     level = 1
     while len(keys):
-        for i in range(FIRST if level == 1 else MORE):
-            hit[probe_at(keys, level, i, cells)] = True
+        for group, n in enumerate(groups_of(level)):
+            at, h = probed(keys, level, group, np.uint64(cells // 64))
+            for place in places(h, n):
+                hit[(at << 6) + place.view(np.int64)] = True
         level += 1
         on = levels >= level
         keys, levels = keys[on], levels[on]
@@ -96,17 +142,25 @@ class Filter:
     data: np.ndarray
     value: np.ndarray
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Level of each key, some thousands at a time, which stay in the processor's cache."""
+        return np.concatenate([np.zeros(0, np.int64), *[self._levels(keys[i : i + step]) for i in range(0, len(keys), step)]])
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
+        data = self.data.view(np.uint64)
         out = np.zeros(len(keys), np.int64)
         shard = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         left = np.flatnonzero(self.cells[shard] > 0)
+        keys, first, words = keys[left], self.first[shard[left]] >> 3, (self.cells[shard[left]] >> 6).astype(np.uint64)
         level = 1
         while len(left) and level < len(self.value):
-            first, cells = self.first[shard[left]], self.cells[shard[left]]
-            for i in range(FIRST if level == 1 else MORE):
-                at = probe_at(keys[left], level, i, cells)
-                stays = (self.data[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-                left, first, cells = left[stays], first[stays], cells[stays]
+            for group, n in enumerate(groups_of(level)):
+                at, h = probed(keys, level, group, words)
+                mask = np.zeros(len(h), np.uint64)
+                for place in places(h, n):
+                    mask |= np.uint64(1) << place
+                stays = data[first + at] & mask == mask
+                left, keys, first, words = left[stays], keys[stays], first[stays], words[stays]
             out[left] = level
             level += 1
         return out
@@ -137,32 +191,30 @@ def learn(docs: DataFrame, frequent: int = 1 << 20) -> Model:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = rows = 0
 
-        def flush() -> pa.RecordBatch:
-            token = np.concatenate([t for t, _ in held])
-            pair = bigrams(np.concatenate([b for _, b in held]), token)
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, before = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             held.clear()
-            out = []
-            for order, keys in ((UNI, token), (BI, pair)):
-                keys, counts = np.unique(keys, return_counts=True)
+            for order in (UNI, BI):
+                keys, counts = np.unique(token if order == UNI else bigrams(before, token), return_counts=True)
                 if order == UNI:
                     at = np.searchsorted(keys, START)
                     keys, counts = np.insert(keys, at, START), np.insert(counts, at, rows)
-                out += packed(order, keys, counts, bits)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], names=["ngram", "shard", "keys", "counts"])
+                for some in parcels(by_shard(keys, bits)):
+                    yield pa.RecordBatch.from_pydict({"ngram": pa.array([order] * len(some), pa.int32()), "shard": pa.array([s for s, _, _ in some], pa.int32()), "keys": pa.array(squeezed(keys, some), pa.binary()), "counts": pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in some], pa.binary())})
 
         for batch in slices(batches, "text"):
             token, before, _ = sequence(*words_of(*text_bytes(batch.column("text"))))
             held.append((token, before))
             size, rows = size + len(token), rows + batch.num_rows
             if size >= FLUSH:
-                yield flush()
+                yield from flush()
                 size = rows = 0
         if rows:
-            yield flush()
+            yield from flush()
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         order, shard = key[0].as_py(), key[1].as_py()
-        keys, counts = sum_by_key(joined(group.column("keys"), np.uint64), joined(group.column("counts"), np.uint32).astype(np.int64))
+        keys, counts = sum_by_key(unsqueezed(group.column("keys").to_pylist())[0], joined(group.column("counts"), np.uint32).astype(np.int64))
         levels = level_of(counts, order)
         cells, data = filter_piece(keys, levels)
         most = int(levels.max()) + 1
@@ -210,7 +262,7 @@ def filters(model: Model) -> dict[int, Filter]:
             first[row["shard"]], cells[row["shard"]] = at, row["cells"]
             parts.append(np.frombuffer(row["data"], np.uint8))
             at += len(parts[-1])
-        out[order] = Filter(model.bits, first, cells, np.concatenate(parts) if parts else np.zeros(1, np.uint8), model.values[order])
+        out[order] = Filter(model.bits, first, cells, np.concatenate(parts) if parts else np.zeros(8, np.uint8), model.values[order])
     return out
 
 
@@ -247,7 +299,7 @@ def document_scores(own: np.ndarray, context: np.ndarray, pair: np.ndarray, edge
     return most + np.log10(np.power(10.0, each - most).mean(0))
 
 
-def after(values: np.ndarray, edges: np.ndarray, first: float) -> np.ndarray:
+def after(values: np.ndarray, edges: np.ndarray, first: float | np.uint64) -> np.ndarray:
     """Each token's predecessor's value; `first` at the starts of rows."""
     out = np.empty_like(values)
     out[1:] = values[:-1]
@@ -280,7 +332,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
         hot_keys, hot_counts = hot.value
         known = shared.value if shared else None
         serial = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(gathered(batches, "text", SLICE), "text", SLICE):
 
             def emit(m: int, has: dict, kept: list | None = None) -> pa.RecordBatch:
                 own = [pa.array(has[c], t) if c in has else pa.nulls(m, t) for c, t in extra.items()]
@@ -317,10 +369,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
                 some = by_shard(keys, bits)
                 yield emit(len(some), {"kind": [1] * len(some), "shard": [s for s, _, _ in some], "rows": [rows[a:b].tobytes() for _, a, b in some], "keys": [keys[a:b].tobytes() for _, a, b in some], "times": [often[a:b].astype(np.int64).tobytes() for _, a, b in some]})
             if not known:
-                for ngram, asked in ((UNI, np.union1d(kind, START)), (BI, np.unique(bigrams(before, token)))):
-                    some = by_shard(asked, bits)
-                    yield emit(len(some), {"kind": [2] * len(some), "ngram": [ngram] * len(some), "shard": [s for s, _, _ in some], "batch_id": [int(ident[0])] * len(some), "keys": [asked[a:b].tobytes() for _, a, b in some]})
-                yield emit(1, {"kind": [3], "batch_id": [int(ident[0])], "keys": [token.tobytes()], "rows": [edges.astype(np.int64).tobytes()]})
+                start = np.searchsorted(kind, START)
+                for ngram, asked in ((UNI, np.insert(kind, start, START)), (BI, np.unique(bigrams(before, token), return_counts=True)[0])):
+                    for some in parcels(by_shard(asked, bits)):
+                        yield emit(len(some), {"kind": [2] * len(some), "ngram": [ngram] * len(some), "shard": [s for s, _, _ in some], "batch_id": [int(ident[0])] * len(some), "keys": squeezed(asked, some)})
+                yield emit(1, {"kind": [3], "batch_id": [int(ident[0])], "keys": squeezed(kind, [(0, 0, len(kind))]), "rows": [inverse.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()], "times": [np.diff(edges).astype(np.uint32).tobytes()]})
 
     def look_up(key: tuple, asked: pa.Table, there: pa.Table) -> pa.Table:
         known, counts = joined(there.column("keys"), np.uint64), joined(there.column("counts"), np.int64)
@@ -331,7 +384,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
         return pa.table({"row_id": row, "cold_known": np.bincount(of, np.where(count > 0, times, 0), len(row)).astype(np.int64), "cold_base": np.bincount(of, times * np.log10(count + 1.0), len(row))}, schema=pa.schema([("row_id", pa.int64()), ("cold_known", pa.int64()), ("cold_base", pa.float64())]))
 
     own = ", ".join(f"{c} {'long' if t == pa.int64() else 'int' if t == pa.int32() else 'double' if t == pa.float64() else 'binary'}" for c, t in extra.items())
-    measured = written(docs.select(*keep, "text").mapInArrow(measure, f"{kept}, {own}"), "lm-scores")
+    measured = written(docs.select(*keep, "text").mapInArrow(measure, f"{kept}, {own}"), "lm-scores", block=16 << 20)
     asked = measured.where("kind = 1").select("shard", "rows", "keys", "times")
     there = model.merged.where(F.col("ngram") == UNI).select("shard", "keys", "counts")
     cold = asked.groupBy("shard").cogroup(there.groupBy("shard")).applyInArrow(look_up, "row_id long, cold_known long, cold_base double")
@@ -354,35 +407,36 @@ def routed_scores(measured: DataFrame, model: Model) -> DataFrame:
     values, total, kinds = model.values, model.total, model.kinds
 
     def probe(key: tuple, asked: pa.Table, piece: pa.Table) -> pa.Table:
-        ngram = key[0].as_py()
-        ids = np.asarray(asked.column("batch_id").combine_chunks())
-        keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
+        ngram, shard, n = key[0].as_py(), key[1].as_py(), asked.num_rows
+        keys, size = unsqueezed(asked.column("keys").to_pylist())
         if piece.num_rows:
             own = Filter(1, np.zeros(2, np.int64), np.full(2, piece.column("cells")[0].as_py()), np.frombuffer(piece.column("data")[0].as_py(), np.uint8), values[ngram])
-            levels = [own.levels(k).astype(np.int16).tobytes() for k in keys]
+            level = own.levels(keys).astype(np.uint8)
         else:
-            levels = [np.zeros(len(k), np.int16).tobytes() for k in keys]
-        return pa.table({"batch_id": ids, "ngram": pa.array([ngram] * len(keys), pa.int32()), "keys": asked.column("keys"), "levels": pa.array(levels, pa.binary())})
+            level = np.zeros(len(keys), np.uint8)
+        replies = [x.tobytes() for x in np.split(level, np.cumsum(size)[:-1])] if n else []
+        return pa.table({"batch_id": asked.column("batch_id"), "ngram": pa.array([ngram] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "levels": pa.array(replies, pa.binary())})
 
     def finish(key: tuple, batch: pa.Table, replies: pa.Table) -> pa.Table:
-        token, edges = joined(batch.column("keys"), np.uint64), joined(batch.column("rows"), np.int64)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[edges[:-1]] = START
+        kind, _ = unsqueezed(batch.column("keys").to_pylist())
+        inverse = np.frombuffer(batch.column("rows")[0].as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+        edges = np.concatenate([[0], np.cumsum(joined(batch.column("times"), np.uint32).astype(np.int64))])
+        token = kind[inverse]
+        before = after(token, edges, START)
 
-        def count(ngram: int, asked: np.ndarray) -> np.ndarray:
+        def levels(ngram: int) -> np.ndarray:
             part = replies.filter(pc.equal(replies.column("ngram"), ngram))
-            keys, level = joined(part.column("keys"), np.uint64), joined(part.column("levels"), np.int16)
-            order = np.argsort(keys)
-            return values[ngram][level[order][np.searchsorted(keys[order], asked)]]
+            return joined(part.sort_by("shard").column("levels"), np.uint8)
 
-        own = count(UNI, token)
-        context = after(own, edges, count(UNI, np.array([START]))[0])
-        got = document_scores(own, context, count(BI, bigrams(before, token)), edges, total, kinds)
+        start, uni = np.searchsorted(kind, START), levels(UNI)
+        own = values[UNI][np.delete(uni, start)[inverse]]
+        context = after(own, edges, values[UNI][uni[start]])
+        _, place = np.unique(bigrams(before, token), return_inverse=True)
+        got = document_scores(own, context, values[BI][levels(BI)[place]], edges, total, kinds)
         return pa.table({"row_id": key[0].as_py() + np.arange(len(got)), "score": got})
 
     asked = measured.where("kind = 2").select("ngram", "shard", "batch_id", "keys")
     pieces = model.merged.select("ngram", "shard", "cells", "data")
-    replies = asked.groupBy("ngram", "shard").cogroup(pieces.groupBy("ngram", "shard")).applyInArrow(probe, "batch_id long, ngram int, keys binary, levels binary")
-    batches = measured.where("kind = 3").select("batch_id", "keys", "rows")
+    replies = asked.groupBy("ngram", "shard").cogroup(pieces.groupBy("ngram", "shard")).applyInArrow(probe, "batch_id long, ngram int, shard int, levels binary")
+    batches = measured.where("kind = 3").select("batch_id", "keys", "rows", "times")
     return batches.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(finish, "row_id long, score double")

@@ -27,7 +27,7 @@ SLICE_BYTES = 4 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_powers = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,12 +40,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 64), _BASE, np.uint64)]))
-    return _powers
+def powers(n: int, back: bool = False) -> np.ndarray:
+    """Powers of the base, or of its inverse, from 0 to n at least."""
+    if len(_powers[back]) <= n:
+        base = np.uint64(pow(int(_BASE), -1, 1 << 64)) if back else _BASE
+        _powers[back] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 64), base, np.uint64)]))
+    return _powers[back]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +74,23 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each raw[start:end]; spans are in order, apart and not empty."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    size = end - start
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    inside = np.arange(int(size.sum())) - np.repeat(first, size)
-    at = inside + np.repeat(start, size)
-    total = np.add.reduceat(_BYTE_CODE[raw[at]] * powers(int(size.max()))[inside], first)
-    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each raw[start:end]; spans are in order, apart and not empty.
+
+    Sums of the codes of bytes times powers of an odd base by their place in the span, as differences of running sums over
+    about `step` bytes at a time.
+    """
+    total = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + step, "right")))
+        part = raw[start[i] : end[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[part] * powers(max(len(part), step))[: len(part)], out=sums[1:])
+        a = start[i:j] - start[i]
+        total[i:j] = (sums[end[i:j] - start[i]] - sums[a]) * powers(step, back=True)[a]
+        i = j
+    return mix(total + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +140,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 16 << 20) -
             low = high
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, least: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, batches put together until they hold `least` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(text_bytes(batch.column(text))[1][-1])
+        if size >= least:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Have Spark hand texts to Python in smaller batches than usual, unless the session asks for still smaller ones.
 
@@ -182,14 +201,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None, block: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, so a lost executor costs no earlier step.
 
-    files: at most so many, for tables known to be small.
+    files: at most so many, for tables known to be small. block: bytes of a row group, for rows with long binary values.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.options(**({"parquet.block.size": block} if block else {})).parquet(path)
     atexit.register(_removed, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import pathlib
 import random
 import re
 import textwrap
@@ -153,6 +154,30 @@ def test_lm_routed_and_broadcast_filters_agree(spark, docs):
         assert math.isclose(a["score"], b["score"], rel_tol=1e-9) and math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)
 
 
+def test_lm_routed_tables_stay_small(spark):
+    """Sorted keys go out as gaps, and tokens as places among a batch's kinds: 15.5 bytes a token before, on these texts."""
+    rng = random.Random(5)
+    some = spark.createDataFrame([(i, " ".join(f"{rng.randrange(3000):x}" for _ in range(20_000))) for i in range(20)], "doc_id long, text string")
+    before = set(pathlib.Path(textio.shared_folder(spark).removeprefix("file://")).glob("lm-scores-*"))
+    assert len(lm_rows(spark, some.coalesce(1), broadcast_bytes=0)) == 20
+    made = set(pathlib.Path(textio.shared_folder(spark).removeprefix("file://")).glob("lm-scores-*")) - before
+    size = sum(f.stat().st_size for d in made for f in d.glob("*.parquet"))
+    assert 0 < size < 11 * 20 * 20_000, size / (20 * 20_000)
+
+
+def test_lm_keys_of_many_runs_go_in_parcels_and_come_back(monkeypatch):
+    monkeypatch.setattr(ngramlm, "PARCEL", 300)
+    keys = np.sort(np.concatenate([textio.mix(np.arange(2000, dtype=np.uint64)), np.array([0, 1 << 64 - 1, (1 << 64) - 1], np.uint64)]))
+    runs = textio.by_shard(keys, 7)
+    parcels = list(ngramlm.parcels(runs))
+    assert [r for p in parcels for r in p] == runs and len(parcels) > 5 and max(p[-1][2] - p[0][1] for p in parcels) < 300 + max(b - a for _, a, b in runs)
+    blobs = [x for p in parcels for x in ngramlm.squeezed(keys, p)]
+    blobs.insert(3, b"")
+    back, size = ngramlm.unsqueezed(blobs)
+    assert (back == keys).all() and size.tolist() == [*[b - a for _, a, b in runs[:3]], 0, *[b - a for _, a, b in runs[3:]]]
+    assert list(ngramlm.parcels([])) == [] and len(ngramlm.unsqueezed([])[0]) == 0
+
+
 def test_lm_awkward_rows(spark, awkward, nothing):
     rows = lm_rows(spark, awkward)
     assert len(rows) == len(AWKWARD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
