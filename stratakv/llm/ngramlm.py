@@ -4,8 +4,8 @@ Counting: every task sums the unigrams and bigrams of some millions of words, pa
 and one group per shard merges them. Each shard becomes a piece of the filter: an n-gram whose count falls in level q
 of a logarithmic scale is entered q times, as (n-gram, 1) .. (n-gram, q), so its level is found again by probing until
 a probe misses. Scoring: the pieces go to the workers as one broadcast while their measured size is below a bound;
-beyond it, batches of documents send their distinct n-grams to the pieces, as gaps between sorted hashes, and get a byte
-for each back, in the same order, with the same result.
+beyond it, batches of documents are written as places among their kinds of words, send their distinct n-grams to the
+pieces, as gaps between sorted hashes, and get a byte for each back, in the same order, with the same result.
 
 Words are 64-bit hashes throughout (two words of a corpus of ten million types collide with probability 3e-6), bigrams
 48-bit ones (one that is not among 10^10 learnt ones equals one of them with probability 4e-5, a false probe's is 4e-3).
@@ -228,9 +228,8 @@ def learn(docs: DataFrame, frequent: int = 1 << 20) -> Model:
         return pa.table({k: [v] for k, v in row.items()}, schema=pa.schema(fields))
 
     fields = [("ngram", pa.int32()), ("shard", pa.int32()), ("cells", pa.int64()), ("data", pa.binary()), ("level_n", pa.list_(pa.int64())), ("level_sum", pa.list_(pa.float64())), ("total", pa.int64()), ("kinds", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
-    sums = docs.select("text").mapInArrow(count, "ngram int, shard int, keys binary, counts binary")
-    merged = sums.groupBy("ngram", "shard").applyInArrow(merge, "ngram int, shard int, cells long, data binary, level_n array<long>, level_sum array<double>, total long, kinds long, keys binary, counts binary")
-    merged = written(merged, "lm-shards")
+    merged = docs.select("text").mapInArrow(count, "ngram int, shard int, keys binary, counts binary").groupBy("ngram", "shard").applyInArrow(merge, "ngram int, shard int, cells long, data binary, level_n array<long>, level_sum array<double>, total long, kinds long, keys binary, counts binary")
+    merged = written(merged, "lm-shards", free=True)
     levels = merged.select("ngram", F.posexplode(F.arrays_zip("level_n", "level_sum")).alias("level", "x"))
     stats = levels.groupBy("ngram", "level").agg(F.sum("x.level_n").alias("n"), F.sum("x.level_sum").alias("s")).collect()
     values = {}
@@ -326,7 +325,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
     smooth = np.log10(total + kinds + 1)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     blob = pa.binary()
-    extra = {"kind": pa.int32(), "row_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "ngram": pa.int32(), "shard": pa.int32(), "batch_id": pa.int64(), "rows": blob, "keys": blob, "times": blob}
+    extra = {"kind": pa.int32(), "row_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "shard": pa.int32(), "batch_id": pa.int64(), "rows": blob, "keys": blob, "times": blob}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_counts = hot.value
@@ -369,11 +368,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
                 some = by_shard(keys, bits)
                 yield emit(len(some), {"kind": [1] * len(some), "shard": [s for s, _, _ in some], "rows": [rows[a:b].tobytes() for _, a, b in some], "keys": [keys[a:b].tobytes() for _, a, b in some], "times": [often[a:b].astype(np.int64).tobytes() for _, a, b in some]})
             if not known:
-                start = np.searchsorted(kind, START)
-                for ngram, asked in ((UNI, np.insert(kind, start, START)), (BI, np.unique(bigrams(before, token), return_counts=True)[0])):
-                    for some in parcels(by_shard(asked, bits)):
-                        yield emit(len(some), {"kind": [2] * len(some), "ngram": [ngram] * len(some), "shard": [s for s, _, _ in some], "batch_id": [int(ident[0])] * len(some), "keys": squeezed(asked, some)})
-                yield emit(1, {"kind": [3], "batch_id": [int(ident[0])], "keys": squeezed(kind, [(0, 0, len(kind))]), "rows": [inverse.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()], "times": [np.diff(edges).astype(np.uint32).tobytes()]})
+                yield emit(1, {"kind": [2], "batch_id": [int(ident[0])], "keys": squeezed(kind, [(0, 0, len(kind))]), "rows": [inverse.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()], "times": [np.diff(edges).astype(np.uint32).tobytes()]})
 
     def look_up(key: tuple, asked: pa.Table, there: pa.Table) -> pa.Table:
         known, counts = joined(there.column("keys"), np.uint64), joined(there.column("counts"), np.int64)
@@ -404,7 +399,27 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), br
 
 def routed_scores(measured: DataFrame, model: Model) -> DataFrame:
     """row_id, score: distinct n-grams of each batch of rows go to their piece of the filter, and the levels come back."""
-    values, total, kinds = model.values, model.total, model.kinds
+    values, total, kinds, bits = model.values, model.total, model.kinds, model.bits
+
+    def tokens(keys: pa.Array, rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of words of a batch in order, and the place among them of every token."""
+        return unsqueezed(keys.to_pylist())[0], np.frombuffer(rows[0].as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+
+    def pairs(kind: np.ndarray, place: np.ndarray, times: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.concatenate([[0], np.cumsum(joined(times, np.uint32).astype(np.int64))])
+        token = kind[place]
+        return bigrams(after(token, edges, START), token), edges
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some_rows in batches:
+            for i in range(some_rows.num_rows):
+                row = some_rows.slice(i, 1)
+                kind, place = tokens(row.column("keys"), row.column("rows"))
+                pair, _ = pairs(kind, place, row.column("times"))
+                for ngram, asked in ((UNI, np.insert(kind, np.searchsorted(kind, START), START)), (BI, np.unique(pair, return_counts=True)[0])):
+                    for some in parcels(by_shard(asked, bits)):
+                        m = len(some)
+                        yield pa.RecordBatch.from_pydict({"ngram": pa.array([ngram] * m, pa.int32()), "shard": pa.array([x for x, _, _ in some], pa.int32()), "batch_id": pa.array([row.column("batch_id")[0].as_py()] * m, pa.int64()), "keys": pa.array(squeezed(asked, some), pa.binary())})
 
     def probe(key: tuple, asked: pa.Table, piece: pa.Table) -> pa.Table:
         ngram, shard, n = key[0].as_py(), key[1].as_py(), asked.num_rows
@@ -418,25 +433,23 @@ def routed_scores(measured: DataFrame, model: Model) -> DataFrame:
         return pa.table({"batch_id": asked.column("batch_id"), "ngram": pa.array([ngram] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "levels": pa.array(replies, pa.binary())})
 
     def finish(key: tuple, batch: pa.Table, replies: pa.Table) -> pa.Table:
-        kind, _ = unsqueezed(batch.column("keys").to_pylist())
-        inverse = np.frombuffer(batch.column("rows")[0].as_py(), np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-        edges = np.concatenate([[0], np.cumsum(joined(batch.column("times"), np.uint32).astype(np.int64))])
-        token = kind[inverse]
-        before = after(token, edges, START)
+        kind, place = tokens(batch.column("keys"), batch.column("rows").combine_chunks())
+        pair, edges = pairs(kind, place, batch.column("times"))
 
         def levels(ngram: int) -> np.ndarray:
             part = replies.filter(pc.equal(replies.column("ngram"), ngram))
             return joined(part.sort_by("shard").column("levels"), np.uint8)
 
         start, uni = np.searchsorted(kind, START), levels(UNI)
-        own = values[UNI][np.delete(uni, start)[inverse]]
+        own = values[UNI][np.delete(uni, start)[place]]
         context = after(own, edges, values[UNI][uni[start]])
-        _, place = np.unique(bigrams(before, token), return_inverse=True)
-        got = document_scores(own, context, values[BI][levels(BI)[place]], edges, total, kinds)
+        _, of = np.unique(pair, return_inverse=True)
+        got = document_scores(own, context, values[BI][levels(BI)[of]], edges, total, kinds)
         return pa.table({"row_id": key[0].as_py() + np.arange(len(got)), "score": got})
 
-    asked = measured.where("kind = 2").select("ngram", "shard", "batch_id", "keys")
+    batches = measured.where("kind = 2").select("batch_id", "keys", "rows", "times")
+    asked = batches.mapInArrow(ask, "ngram int, shard int, batch_id long, keys binary")
     pieces = model.merged.select("ngram", "shard", "cells", "data")
     replies = asked.groupBy("ngram", "shard").cogroup(pieces.groupBy("ngram", "shard")).applyInArrow(probe, "batch_id long, ngram int, shard int, levels binary")
-    batches = measured.where("kind = 3").select("batch_id", "keys", "rows", "times")
+    replies = written(replies, "lm-levels", block=16 << 20, free=True)
     return batches.groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(finish, "row_id long, score double")

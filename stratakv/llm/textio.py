@@ -23,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at a time; a longer document is cut between words.
 SLICE_BYTES = 4 << 20
+#: Spark's setting by which a query's shuffles are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,14 +203,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, files: int | None = None, block: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None, block: int | None = None, free: bool = False) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, so a lost executor costs no earlier step.
 
     files: at most so many, for tables known to be small. block: bytes of a row group, for rows with long binary values.
+    free: the shuffles it took are removed as soon as it is written, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df if files is None else df.coalesce(files)).write.options(**({"parquet.block.size": block} if block else {})).parquet(path)
+    had = spark.conf.get(CLEANUP, None)
+    if free:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        (df if files is None else df.coalesce(files)).write.options(**({"parquet.block.size": block} if block else {})).parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(CLEANUP) if had is None else spark.conf.set(CLEANUP, had)
     atexit.register(_removed, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
