@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratakv.llm.components import components
-from stratakv.llm.textio import by_shard, input_bytes, mix, shard_bits, slices, small_batches, text_bytes, words_of, written
+from stratakv.llm.textio import by_shard, input_bytes, mix, shard_bits, slices, small_batches, sum_by_key, text_bytes, words_of, written
 
 #: Signatures packed at a time, and documents that meet in one unit.
 FLUSH, UNIT = 2_000_000, 256
@@ -119,20 +119,51 @@ def signatures(h: np.ndarray, at: np.ndarray, bands: Bands, frequent: np.ndarray
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def frequent_shingles(docs: DataFrame, words: int, sampled: int = 3000, least: int = 4, most: int = 100_000) -> np.ndarray:
-    """Shingles that at least `least` of about `sampled` documents have. Results don't depend on which these are, only speed does."""
+class Often:
+    """Counts of keys in bounded memory: with more than `most` keys, all counts are lowered alike until `most` are left.
+
+    A count is too small by `short` at most, which is at most all that was counted over `most`.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.short = most, 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = sum_by_key(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
+        if len(self.keys) > self.most:
+            less = int(np.partition(self.counts, len(self.counts) - self.most - 1)[len(self.counts) - self.most - 1])
+            self.short += less
+            on = self.counts > less
+            self.keys, self.counts = self.keys[on], self.counts[on] - less
+
+
+def frequent_shingles(docs: DataFrame, words: int, share: int = 750, counters: int = 1 << 19, least: int = 4, most: int = 100_000) -> np.ndarray:
+    """Shingles that more than one in `share` documents have, by counts over all rows of docs, and some of half as many.
+
+    Every task counts its own rows and gives what at least one in 2 * share of them has, so a sum over tasks is too small
+    by one in 2 * share documents at most, and by one in `counters` shingles where a task's outgrow `counters`; sums of more
+    than one in 2 * share, and of `least` at least, are taken, the largest `most`. Small partitions are counted together, so
+    that what a task gives has been seen there several times. Results don't depend on which these are, only speed does.
+    """
     n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    tasks = max(n // (8 * share), input_bytes(docs) // (8 << 20), 1)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = Often(counters), 0
         for batch in slices(batches, "text", 6 << 20):
             h, _ = shingles(*words_of(*text_bytes(batch.column("text"))), words)
-            keys, counts = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
-
-    some = docs.where(draw * max(n, 1) < sampled).select("text").mapInArrow(spell, "h long, n long")
-    rows = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+            seen.add(*np.unique(h, return_counts=True))
+            rows += batch.num_rows
+        on = seen.counts * 2 * share >= rows
+        keys, counts = seen.keys[on], seen.counts[on]
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(counts[i : i + 100_000])], names=["h", "n"])
+
+    least = max(n // (2 * share) + 1, least)
+    found = docs.select("text").coalesce(tasks).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return np.sort(np.asarray(rows.column("h").combine_chunks()).view(np.uint64))
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -416,6 +416,34 @@ def test_jaccard_decides_a_small_group_left_open_by_a_salted_center(spark, monke
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 5, 80, 100)
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_frequent_shingles_are_counted_over_all_rows(spark, tasks):
+    n, rows = 12_000, [[] for _ in range(12_000)]
+    rng = random.Random(tasks)
+    for k in range(40):  # in 20 rows, more than one in 750, and in 7, less than one in 1500
+        for i in rng.sample(range(n), 20):
+            rows[i].append(f"often{k}")
+        for i in rng.sample(range(n), 7):
+            rows[i].append(f"seldom{k}")
+    docs = spark.createDataFrame([(i, " ".join(own)) for i, own in enumerate(rows)], "doc_id long, text string").repartition(tasks)
+    column = pa.array([f"often{k}" for k in range(40)])
+    want, _ = jaccard.shingles(*textio.words_of(*textio.text_bytes(column)), 1)
+    assert (jaccard.frequent_shingles(docs, 1) == np.sort(want)).all()
+
+
+def test_counts_in_bounded_memory_are_short_by_little():
+    rng = np.random.default_rng(2)
+    own, true = jaccard.Often(100), collections.Counter()
+    for _ in range(50):
+        keys, counts = np.unique(rng.zipf(1.5, 500).astype(np.uint64), return_counts=True)
+        own.add(keys, counts)
+        true.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        assert len(own.keys) <= 100
+    got = dict(zip(own.keys.tolist(), own.counts.tolist(), strict=True))
+    assert 0 < own.short <= sum(true.values()) / 100
+    assert all(got.get(k, 0) <= c <= got.get(k, 0) + own.short for k, c in true.items())
+
+
 def test_jaccard_awkward_rows(awkward, nothing):
     got = collections.defaultdict(list)
     for r in jaccard.similar_documents(awkward, 3, 90, 100).collect():
